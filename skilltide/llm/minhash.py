@@ -199,28 +199,35 @@ def near_duplicates(
         x, y = (sets.select(F.col("id").alias(k), F.col("members").alias(f"set_{k}")) for k in "ab")
         return _linked(likely.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b"), *threshold)
 
+    def labelled(frame: DataFrame, key: str, name: str) -> DataFrame:
+        return frame.join(comp.select(F.col("id").alias(key), F.col("comp").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
     links = spark.createDataFrame([], "a long, b long")
-    tested = links
-    comp = None
-    left = members
+    tested, comp, left = links, spark.createDataFrame([], "id long, comp long"), members
     for turn in range(stars + 1):
         if not n_nodes or left.isEmpty():
             break
         if turn < stars:
-            centres = left.groupBy("bucket").agg(F.min("id").alias("a"))
-            starred = left.join(centres, "bucket")
-            pairs = starred.where("id != a").select("a", F.col("id").alias("b"))
-            left = starred.where("id != a").select("id", "bucket")
+            starred = left.join(left.groupBy("bucket").agg(F.min("id").alias("a")), "bucket").where("id != a")
+            pairs = starred.select("a", F.col("id").alias("b"))
+            left = starred.select("id", "bucket")
         else:
-            x, y = (left.join(comp, "id", "left").select("bucket", F.col("id").alias(k), F.coalesce("comp", "id").alias(f"c_{k}")) for k in "ab")
-            pairs = x.join(y, "bucket").where("a < b and c_a != c_b").select("a", "b")
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti").checkpoint()
+            pairs = left.withColumnRenamed("id", "a").join(left.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b")
+        pairs = pairs.distinct()
+        if turn == 0:
+            # One pair for each member first: inside a large group of copies it joins nearly all
+            pairs = pairs.checkpoint()
+            tested = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
+            links = verified(tested).checkpoint()
+            comp = components(links, steps=2)
+        # Pairs inside one component can change nothing
+        pairs = labelled(labelled(pairs, "a", "comp_a"), "b", "comp_b").where("comp_a != comp_b").select("a", "b")
+        pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
         tested = tested.unionByName(pairs)
         links = links.unionByName(verified(pairs).checkpoint())
         if turn < stars:
             comp = components(links, steps=1)
-            seen = left.join(comp, "id", "left").select("id", "bucket", F.coalesce("comp", "id").alias("comp"))
-            split = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+            split = labelled(left, "id", "comp").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
             left = left.join(split, "bucket", "left_semi").checkpoint()
     comp = components(links)
 

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, tokens, toxicity
+from . import media, minhash, mixing, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents"))
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +35,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_media": op1_media,
     "op3_tokens": op3_tokens,
     "op4_toxicity": op4_toxicity,
     "op7_minhash": op7_minhash,
