@@ -224,7 +224,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         for batch in iterator:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 if out is None:
-                    out = ZipWriter(fs.open_output_stream(f"{root}/{name}"))
+                    out = ZipWriter(fs.open_output_stream(f"{root}/{name}", compression=None))
                 payload, length = payload_of(text.as_py())
                 n += 1
                 out.add(f"{n:09d}_{'null' if key.as_py() is None else key.as_py()}_{length}.png", png(payload))
