@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, media, minhash, mixing, tokens, toxicity, warc
+from . import ann, html, media, minhash, mixing, tokens, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc(table(spark, sf_dir, "pages"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op6_html": op6_html,
     "op7_minhash": op7_minhash,
     "op8_warc": op8_warc,
+    "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
 }
 
