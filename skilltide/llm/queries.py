@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html, media, minhash, mixing, tokens, toxicity, warc
+from . import ann, html, media, minhash, mixing, packing, tokens, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op3_tokens": op3_tokens,
     "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
     "op6_html": op6_html,
     "op7_minhash": op7_minhash,
     "op8_warc": op8_warc,
