@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html, media, minhash, mixing, packing, tokens, toxicity, warc
+from . import ann, html, licenses, media, minhash, mixing, packing, tokens, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licenses(spark, sf_dir)
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
+    "op2_licenses": op2_licenses,
     "op3_tokens": op3_tokens,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
