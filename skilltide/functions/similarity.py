@@ -37,10 +37,15 @@ def sparse_cosine(x: Column, y: Column, norm_x: Column, norm_y: Column) -> Colum
     return F.when((norm_x > 0) & (norm_y > 0), shared / (norm_x * norm_y)).otherwise(F.lit(0.0))
 
 
+def _whole(n: int) -> Column:
+    """An integer as the narrowest decimal: wider ones would cost digits behind the point in products."""
+    return F.lit(n).cast(f"decimal({len(str(n))},0)")
+
+
 def hybrid_exact(dense: Column | None, sparse: Column | None, params: RunParams) -> Column:
     """Weighted sum of the scores' decimal texts times the weights' denominator, as a decimal."""
     a, b, _ = params.integers
-    parts = [F.lit(w).cast("decimal(10,0)") * s.cast(DECIMAL) for w, s in ((a, dense), (b, sparse)) if w]
+    parts = [_whole(w) * s.cast(DECIMAL) for w, s in ((a, dense), (b, sparse)) if w]
     return parts[0] if len(parts) == 1 else parts[0] + parts[1]
 
 
@@ -51,4 +56,4 @@ def hybrid(exact_score: Column, params: RunParams) -> Column:
 def reaches(exact_score: Column, params: RunParams) -> Column:
     """Whether the exact hybrid score reaches the similarity threshold, without rounding."""
     t, w = params.similarity, params.integers[2]
-    return exact_score * F.lit(t.denominator).cast("decimal(10,0)") >= F.lit(t.numerator * w).cast("decimal(20,0)")
+    return exact_score * _whole(t.denominator) >= _whole(t.numerator * w)

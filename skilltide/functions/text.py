@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import LEVELS
 
@@ -19,18 +20,18 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(text.cast("string"), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decompose(text: pd.Series) -> pd.Series:
     """NFKD without combining marks, in capitals."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).upper())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t.casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 

@@ -1,7 +1,6 @@
 """All registered queries and their DuckDB twins."""
 
-from .matching_queries import ORACLE_SQL as _MATCHING_SQL
-from .matching_queries import QUERIES as _MATCHING
+from . import data_queries, matching_queries
 
-QUERIES = {**_MATCHING}
-ORACLE_SQL = {**_MATCHING_SQL}
+QUERIES = {**matching_queries.QUERIES, **data_queries.QUERIES}
+ORACLE_SQL = {**matching_queries.ORACLE_SQL, **data_queries.ORACLE_SQL}
