@@ -71,7 +71,9 @@ def samples(data: bytes) -> np.ndarray:
         raise ValueError("not a PNG file")
     i, packed, shape = 8, [], None
     while i < len(data):
-        n, kind = struct.unpack_from(">I4s", data, i)
+        n, kind = struct.unpack_from(">I4s", data, i) if i + 8 <= len(data) else (0, b"")
+        if i + 12 + n > len(data):
+            raise ValueError("the file is cut short")
         body = data[i + 8 : i + 8 + n]
         if zlib.crc32(body, zlib.crc32(kind)) != struct.unpack_from(">I", data, i + 8 + n)[0]:
             raise ValueError(f"chunk {kind!r} fails its checksum")
