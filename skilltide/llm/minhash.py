@@ -6,10 +6,12 @@ similarity threshold falls below the chosen miss probability. Survivors are
 verified on their full shingle sets, so every link is exact.
 
 No group is ever expanded into all its pairs. Equal shingle sets are one class.
-Inside a bucket each round compares one centre with the other members (a star:
-as many pairs as members); a bucket is done once its members are in one
-component. What then still spans several components goes on with the next
-centre, so no pair of candidates in different components is left out.
+Inside a bucket one centre is first compared with the other members (a star: as
+many pairs as members), which joins nearly all of a group of copies. In buckets
+whose members are still in several components, those outside the bucket's
+largest component are compared with all others, in blocks of bounded size inside
+a task; only pairs that pass the test leave it, so no pair of candidates in
+different components is left out.
 
 Edge cases: null or empty texts, and texts of white space only, have no shingles
 and are linked with nothing; a text of fewer words than the shingle width is one
@@ -30,7 +32,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .shingles import MinHasher, WordHash, shingle_set
 
 #: Up to so many 8-byte ids are broadcast (8 MB); beyond that the semi-join shuffles.
@@ -106,6 +108,67 @@ def _likely(pairs: DataFrame, size: int, similarity: float, miss: float) -> Data
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _crossed(rows: DataFrame, size: int, ratio: tuple[int, int], bounds: list[tuple[int, int]], best: int | None = None) -> DataFrame:
+    """Pairs (a < b) of different components that pass the sequential test, from sorted rows (bucket, p, q, left, id, comp, n, sig).
+
+    With ``best``, of each left row only so many pairs, those with the most matches.
+
+    A group (bucket, p, q) holds a block of left rows and a block of others, each of bounded size.
+    """
+
+    def compared(ids, comp, n, sig, left) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        for i in range(0, len(x), 128):
+            one = x[i : i + 128]
+            least, most = np.minimum.outer(n[one], n[y]), np.maximum.outer(n[one], n[y])
+            u, v = np.nonzero((comp[one][:, None] != comp[y]) & (ratio[1] * least >= ratio[0] * most))
+            a, b = one[u], y[v]
+            matches, start = np.zeros(len(a), np.int64), 0
+            for end, least_m in bounds:
+                matches += (sig[a, start:end] == sig[b, start:end]).sum(axis=1)
+                good = matches >= least_m
+                a, b, matches, start = a[good], b[good], matches[good], end
+            if best and len(a):
+                order = np.lexsort((b, -matches, a))
+                a, b = a[order], b[order]
+                first = np.searchsorted(a, a)
+                a, b = a[np.arange(len(a)) - first < best], b[np.arange(len(a)) - first < best]
+            yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            key = [rows[k].to_numpy() for k in ("bucket", "p", "q")]
+            edge = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0), True])
+            left = rows["left"].to_numpy(zero_copy_only=False)
+            ids, comp, n = (rows[k].to_numpy() for k in ("id", "comp", "n"))
+            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(len(rows), size)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                s = slice(i, j)
+                found += compared(ids[s], comp[s], n[s], sig[s], left[s])
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            last = [rows[k][len(rows) - 1].as_py() for k in ("bucket", "p", "q")]
+            same = np.all([rows[k].to_numpy() == v for k, v in zip(("bucket", "p", "q"), last, strict=True)], axis=0)
+            cut = int(np.argmax(same))  # where the last group, which may go on, begins
+            if cut:
+                yield done(rows.slice(0, cut))
+                held = rows.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Exact verdict on (a, b, set_a, set_b): den * |A and B| >= num * |A or B|."""
 
@@ -132,22 +195,17 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return best.join(jump, "comp").select("id", F.least("comp", "next").alias("comp"))
 
 
-def components(links: DataFrame, steps: int | None = None) -> DataFrame:
-    """(id, comp) of the nodes of ``links`` (a, b): comp is the least id reachable; after ``steps`` only, maybe a larger one."""
+def components(links: DataFrame) -> DataFrame:
+    """(id, comp) of the nodes of ``links`` (a, b): comp is the least id reachable."""
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = edges.union(edges.select("v", "u")).persist(StorageLevel.DISK_ONLY)
     labels = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "id").checkpoint()
-    done = 0
-    while steps is None or done < steps:
-        new = _spread(edges, labels).checkpoint()
-        done += 1
-        if steps is None:
-            was = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
-            now = new.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
-            if was == now:  # labels only ever fall
-                labels = new
-                break
-        labels = new
+    total, was = F.sum(F.col("comp").cast("decimal(38,0)")), None
+    while True:
+        now = labels.agg(total).first()[0]
+        if now == was:  # labels only ever fall
+            break
+        labels, was = _spread(edges, labels).checkpoint(), now
     edges.unpersist()
     return labels
 
@@ -161,14 +219,15 @@ def near_duplicates(
     bands: int = 48,
     rows: int = 5,
     miss: float = 1e-6,
-    stars: int = 8,
+    block: int = 512,
+    rounds: int = 3,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     With 48 bands of 5 rows, a pair at the threshold shares no band with a
     probability of 2e-6. ``miss`` is the posterior probability under which a
-    candidate is dropped unverified. ``stars`` rounds compare centres; pairs of
-    different components that then still share a bucket are compared directly.
+    candidate is dropped unverified; ``block`` bounds the rows compared at once;
+    ``rounds`` of stars come before the blocks, which alone would find all as well.
     """
     spark, size, similarity = docs.sparkSession, bands * rows, threshold[0] / threshold[1]
     sig = written(signatures(docs, id_col, text_col, width, size), "minhash-signatures")
@@ -199,40 +258,63 @@ def near_duplicates(
         x, y = (sets.select(F.col("id").alias(k), F.col("members").alias(f"set_{k}")) for k in "ab")
         return _linked(likely.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b"), *threshold)
 
-    def labelled(frame: DataFrame, key: str, name: str) -> DataFrame:
-        return frame.join(comp.select(F.col("id").alias(key), F.col("comp").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
-
-    links = spark.createDataFrame([], "a long, b long")
-    tested, comp, left = links, spark.createDataFrame([], "id long, comp long"), members
-    for turn in range(stars + 1):
-        if not n_nodes or left.isEmpty():
-            break
-        if turn < stars:
-            starred = left.join(left.groupBy("bucket").agg(F.min("id").alias("a")), "bucket").where("id != a")
-            pairs = starred.select("a", F.col("id").alias("b"))
-            left = starred.select("id", "bucket")
-        else:
-            pairs = left.withColumnRenamed("id", "a").join(left.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b")
-        pairs = pairs.distinct()
-        if turn == 0:
-            # One pair for each member first: inside a large group of copies it joins nearly all
-            pairs = pairs.checkpoint()
-            tested = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
-            links = verified(tested).checkpoint()
-            comp = components(links, steps=2)
-        # Pairs inside one component can change nothing
-        pairs = labelled(labelled(pairs, "a", "comp_a"), "b", "comp_b").where("comp_a != comp_b").select("a", "b")
-        pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(verified(pairs).checkpoint())
-        if turn < stars:
-            comp = components(links, steps=1)
-            split = labelled(left, "id", "comp").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            left = left.join(split, "bucket", "left_semi").checkpoint()
-    comp = components(links)
+    tested = links = spark.createDataFrame([], "a long, b long")
+    comp = spark.createDataFrame([], "id long, comp long")
+    if n_nodes:
+        def labelled(frame: DataFrame, key: str, name: str) -> DataFrame:
+            known = comp.select(F.col("id").alias(key), F.col("comp").alias(name))
+            return frame.join(known, key, "left").withColumn(name, F.coalesce(name, key))
+
+        def tried(pairs: DataFrame) -> None:
+            nonlocal tested, links, comp
+            pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
+            tested = tested.unionByName(pairs)
+            links = links.unionByName(verified(pairs).checkpoint())
+            comp = components(links)
+            tidy(spark)
+
+        # Stars: members with their buckets' smallest ids, one pair a member and round, as long as it could join components
+        starred = members.join(members.groupBy("bucket").agg(F.min("id").alias("a")), "bucket").where("id != a")
+        stars = starred.select("a", F.col("id").alias("b")).distinct().checkpoint()
+        for _ in range(rounds):
+            apart = labelled(labelled(stars, "a", "comp_a"), "b", "comp_b").where("comp_a != comp_b").join(tested, ["a", "b"], "left_anti")
+            tried(apart.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+
+        # Blocks: in buckets of several components, members outside the largest one against all others;
+        # first the best pairs of each, then whatever could still join components
+        for best in (2, None):
+            seen = labelled(members, "id", "comp")
+            parts = seen.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("n_all"), F.max(F.struct("k", "comp")).alias("m"))
+            parts = parts.where("n_all > m.k").select("bucket", F.col("m.comp").alias("major"), F.ceil((F.col("n_all") - F.col("m.k")) / block).alias("ps"), F.ceil(F.col("n_all") / block).alias("qs"))
+            seen = seen.join(parts, "bucket").join(brief, "id").withColumnRenamed("n_shingles", "n")
+            place, fields = F.xxhash64("id"), ["id", "comp", "n", "sig"]
+            every = seen.withColumn("q", F.pmod(place, "qs")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ps") - 1)))
+            minor = seen.where("comp != major").withColumn("p", F.pmod(place, "ps")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)))
+            both = every.select("bucket", "p", "q", F.lit(False).alias("left"), *fields).unionByName(minor.select("bucket", "p", "q", F.lit(True).alias("left"), *fields))
+            both = both.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+            tried(_crossed(both, size, threshold, least_matches(size, similarity, miss), best).distinct())
 
     classes = reps.select("digest", F.col("id").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("digest", F.coalesce("comp", "rep").alias("component_id"))
     out = sig.select("id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    Rows that repeat an id are one document: one of them stays. Rows with a null id stay.
+    """
+    found = near_duplicates(docs, id_col, **options)
+    ids = written(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept")), "minhash-verdicts")
+    away = ids.where("_id is not null and (rows > 1 or not kept)").select("_id")
+    again = ids.where("_id is not null and rows > 1 and kept").select("_id")
+
+    def few(frame: DataFrame) -> DataFrame:
+        return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
+
+    rest = docs.join(few(away), docs[id_col] == F.col("_id"), "left_anti")
+    if again.isEmpty():
+        return rest
+    return rest.unionByName(docs.join(few(again), docs[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col]))

@@ -298,3 +298,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = texts.mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` whose score is below a half, with all their columns and without a join."""
+    model = character_model(docs, text_col)
+    entries, base = learn(docs, labels, model, id_col, text_col, label_col, sample)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model, entries, base)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
