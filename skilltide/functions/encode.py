@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .similarity import l2_normalize
+from .similarity import bound, l2_normalize
 
 DIMENSION = 1024
 
 
 def fake_dense(text: Column) -> Column:
     """The 32 bytes of the text's SHA-256 scaled to [-0.5, 0.5], repeated to 1024 and normalised."""
-    digest = F.sha2(text, 256)
-    values = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 - 0.5)
+    def values_of(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 - 0.5)
+
+    values = bound(F.sha2(text, 256), values_of)
     return l2_normalize(F.flatten(F.array_repeat(values, DIMENSION // 32)))
 
 

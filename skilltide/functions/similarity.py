@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,16 @@ def norm(x: Column) -> Column:
     return F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, t: s + t * t))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` names it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def l2_normalize(x: Column) -> Column:
-    length = norm(x)
-    return F.when(length > 0, F.transform(x, lambda t: t / length)).otherwise(F.raise_error(F.lit("a zero vector has no direction")).cast("array<double>"))
+    def scaled(v: Column) -> Column:
+        return bound(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda t: t / n)).otherwise(F.raise_error(F.lit("a zero vector has no direction")).cast("array<double>")))
+
+    return bound(x, scaled)
 
 
 def sparse_norm(weights: Column) -> Column:

@@ -90,9 +90,10 @@ def src19_fake_sparse(s, d):
 
 def src19_fake_dense(s, d):
     from ..functions.encode import fake_dense
+    from ..functions.similarity import bound
 
-    v = fake_dense(F.col("text"))
-    return table(s, d, "documents").select("doc_id", F.round(v[0], 9).alias("first"), F.round(v[31], 9).alias("last"), F.size(v).alias("n"))
+    v = bound(fake_dense(F.col("text")), lambda v: F.struct(F.round(v[0], 9).alias("first"), F.round(v[31], 9).alias("last"), F.size(v).alias("n")))
+    return table(s, d, "documents").select("doc_id", v.alias("v")).select("doc_id", "v.first", "v.last", "v.n")
 
 
 def st01_table_diff(s, d):
