@@ -1,12 +1,15 @@
 """Approximate nearest neighbours: multiprobe p-stable hashing with exact reranking.
 
 Largest inner product becomes smallest distance by one more component: vectors are
-scaled by the largest norm and completed to length 1, queries are scaled to
-length 1. Each table cuts Gaussian projections into cells of width ``width``. A
-query visits its own cell and then perturbed ones in the order of estimated
-success (the sum of squared distances to the crossed cell borders), ``probes`` in
-each table; the candidates of all tables are merged and scored on the original
-vectors in double precision.
+scaled by the largest norm of their range and completed to length 1, queries are
+scaled to length 1. Ranges are powers of two with cells of their own, so that a few
+long vectors do not push all others together. Each table cuts Gaussian projections
+into cells of width ``width``. A query visits its own cell and then perturbed ones
+in the order of estimated success (the sum of squared distances to the crossed cell
+borders), ``probes`` in each table and range; the candidates of all tables are
+merged and scored on the original vectors in double precision. Queries that find
+fewer than ``k`` go on with ten times the probes and steps of two cells, and those
+still short are held against every vector.
 
 Equal vectors are one class with its ``k`` + 1 smallest ids (more can never be
 among the k nearest), so copies cost nothing. Cells are dealt by hash over parts,
@@ -16,15 +19,16 @@ a query's candidates ever form one list.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or
 have another length than most vectors take no part, neither do rows with a null
-id; rows that repeat id and vector count once; fewer candidates than k give them
-all that the visited cells hold; ties go to the smaller id; an empty table gives
-an empty result. Other columns are not read.
+id; rows that repeat id and vector count once; fewer other ids than k give all of
+them; ties go to the smaller id; an empty table gives an empty result. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -41,40 +45,43 @@ OUT = "query_id long, rank int, vec_id long, score double"
 class Hasher:
     """Codes and probe sequences of ``tables`` p-stable hash tables of ``hashes`` projections each."""
 
-    def __init__(self, dim: int, tables: int, hashes: int, width: float, seed: int = 9):
+    def __init__(self, dim: int, tables: int, hashes: int, width: float, seed: int = 9, step: int = 1):
         rng = np.random.default_rng(seed)
         self.tables, self.hashes, self.width = tables, hashes, width
         self.project = rng.normal(size=(dim, tables * hashes))
         self.shift = rng.uniform(0, width, tables * hashes)
         self.factor = rng.integers(1, 1 << 63, hashes, dtype=np.uint64) | np.uint64(1)
-        self.moves = np.array([m for m in product((-1, 0, 1), repeat=hashes)], np.int64)
-        self.down, self.up = (self.moves == -1).T.astype(float), (self.moves == 1).T.astype(float)
+        self.moves = np.array([m for m in product(range(-step, step + 1), repeat=hashes)], np.int64)
+        self.down = [(self.moves == -n).T.astype(float) for n in range(1, step + 1)]
+        self.up = [(self.moves == n).T.astype(float) for n in range(1, step + 1)]
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """Positions in units of cells: (rows, tables, hashes)."""
         return ((x @ self.project + self.shift) / self.width).reshape(len(x), self.tables, self.hashes)
 
-    def names(self, cells: np.ndarray, table: int) -> np.ndarray:
-        """64-bit names of integer cells (..., hashes) of a table."""
+    def names(self, cells: np.ndarray, table: int, band: np.ndarray) -> np.ndarray:
+        """64-bit names of integer cells (..., hashes) of a table and of norm ranges (...)."""
         h = (cells.astype(np.int64).view(np.uint64) * self.factor).sum(axis=-1, dtype=np.uint64)
+        h += mix(np.asarray(band, np.int64).view(np.uint64) + np.uint64(1 << 32))
         return mix(h + np.uint64((table + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
 
-    def probes(self, at: np.ndarray, table: int, n: int) -> np.ndarray:
-        """Names of the n cells likeliest to hold neighbours of each row, likeliest first."""
+    def probes(self, at: np.ndarray, table: int, n: int, bands: list[int]) -> np.ndarray:
+        """Names of the n cells of each range likeliest to hold neighbours of each row, likeliest first."""
         base = np.floor(at[:, table])
         inside = at[:, table] - base
-        cost = (inside**2) @ self.down + ((1 - inside) ** 2) @ self.up
+        cost = sum(((inside + i) ** 2) @ m for i, m in enumerate(self.down)) + sum(((i + 1 - inside) ** 2) @ m for i, m in enumerate(self.up))
         order = np.argsort(cost, axis=1, kind="stable")[:, :n]
-        return self.names(base[:, None, :].astype(np.int64) + self.moves[order], table)
+        cells = base[:, None, :].astype(np.int64) + self.moves[order]
+        return np.hstack([self.names(cells, table, np.full(cells.shape[:2], b, np.int64)) for b in bands])
 
 
-def unit(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """Vectors on the sphere where the nearest point has the largest inner product."""
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    if query:
-        return np.hstack([x / norm, np.zeros((len(x), 1))])
-    y = x / longest
-    return np.hstack([y, np.sqrt(np.maximum(0.0, 1 - (norm / longest) ** 2))])
+def unit(x: np.ndarray, band: np.ndarray | None = None, longest: np.ndarray | None = None) -> np.ndarray:
+    """Vectors (with their norm range 2**band and its longest norm over 2**band) or queries on the sphere where the nearest point has the largest inner product."""
+    if band is None:
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return np.hstack([x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.zeros((len(x), 1))])
+    y = np.ldexp(x, -band[:, None]) / longest[:, None]
+    return np.hstack([y, np.sqrt(np.maximum(0.0, 1 - (y * y).sum(axis=1, keepdims=True)))])
 
 
 def _part(names: np.ndarray, parts: int) -> np.ndarray:
@@ -182,6 +189,27 @@ def _merged(k: int):
     return run
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes as rows of the one cell 0."""
+    for b in batches:
+        ids = [np.array(r, "<i8").tobytes() for r in b.column(1).to_pylist()]
+        data = [np.array(r, "<f8").tobytes() for r in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int64()), pa.array(ids, pa.binary()), pa.array(data, pa.binary())], ["name", "ids", "vector"])
+
+
+def _plain_query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries that visit the one cell 0."""
+    for b in batches:
+        data = [np.array(r, "<f8").tobytes() for r in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bytes(8)] * len(data), pa.binary()), pa.array(data, pa.binary())], ["query_id", "names", "vector"])
+
+
+def _short(queries: DataFrame, got: DataFrame, want: int) -> DataFrame:
+    """Queries with fewer than ``want`` rows."""
+    full = got.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= want).select("id")
+    return queries.join(full, "id", "left_anti")
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 8, hashes: int = 6, width: float = 1.5, probes: int = 100, part_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -201,9 +229,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 8, h
         copies = copies.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r")
     copies = copies.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     classes = classes.join(copies, ["h", "g"], "left").select(F.col("m.v").alias("v"), F.coalesce("ids", F.array("m.id")).alias("ids"))
-    classes = written(classes, "ann-index")
-    facts = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
-    longest, parts = float(facts.square) ** 0.5, max(32, -(-facts.n * tables // part_rows))
+    # log2 of the norm, without overflow; a range reaches from 2**(band - 1/2) to 2**(band + 1/2)
+    big = F.array_max(F.transform("v", F.abs))
+    log = F.log2(big) + F.log2(F.aggregate(F.transform("v", lambda x: x / big), F.lit(0.0), lambda a, x: a + x * x)) / 2
+    classes = written(classes.withColumn("log", log).select("v", "ids", F.round("log").cast("int").alias("band"), F.pow(F.lit(2.0), F.col("log") - F.round("log")).alias("size")), "ann-index")
+    # At most some 2,100 ranges however many rows: the exponents of a double
+    facts = classes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("longest")).collect()
+    scale, rows = {r.band: r.longest for r in facts}, sum(r.n for r in facts)
+    parts = max(32, -(-rows * tables // part_rows))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(dim + 1, tables, hashes, width)
@@ -212,29 +245,55 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 8, h
                 b = batch.slice(i, 2048)
                 x = np.array(b.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
                 ids = [np.array(r, "<i8").tobytes() for r in b.column(1).to_pylist()]
+                band = b.column(2).to_numpy(zero_copy_only=False)
                 data = [r.tobytes() for r in x]
-                at = np.floor(hasher.cells(unit(x, longest, False)))
+                at = np.floor(hasher.cells(unit(x, band, np.array([scale[n] for n in band.tolist()]))))
                 for t in range(tables):
-                    names = hasher.names(at[:, t], t)
+                    names = hasher.names(at[:, t], t, band)
                     yield pa.RecordBatch.from_arrays([pa.array(_part(names, parts)), pa.array(names), pa.array(ids, pa.binary()), pa.array(data, pa.binary())], ["part", "name", "ids", "vector"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(dim + 1, tables, hashes, width)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                b = batch.slice(i, 64)
-                x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
-                at = hasher.cells(unit(x, longest, True))
-                names = np.hstack([hasher.probes(at, t, probes) for t in range(tables)])
-                rows = []
-                for one, key, vector in zip(names, b.column(0).to_pylist(), x, strict=True):
-                    part = _part(one, parts)
-                    rows += [(int(p), key, one[part == p].tobytes(), vector.tobytes()) for p in np.unique(part)]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "query_id", "names", "vector"])
+    def ask(step: int, n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher, bands = Hasher(dim + 1, tables, hashes, width, step=step), sorted(scale)
+            for batch in batches:
+                for i in range(0, batch.num_rows, 64):
+                    b = batch.slice(i, 64)
+                    x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
+                    at = hasher.cells(unit(x))
+                    names = np.hstack([hasher.probes(at, t, n, bands) for t in range(tables)])
+                    rows = []
+                    for one, key, vector in zip(names, b.column(0).to_pylist(), x, strict=True):
+                        part = _part(one, parts)
+                        rows += [(int(p), key, one[part == p].tobytes(), vector.tobytes()) for p in np.unique(part)]
+                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "query_id", "names", "vector"])
+
+        return run
+
+    def ranked(cells: DataFrame, asked: DataFrame) -> DataFrame:
+        found = cells.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda a, b: _score(a, b, dim, k + 1), "query_id long, found binary")
+        return written(found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(k), OUT), "ann-found")
 
-    cells = classes.mapInArrow(index, "part long, name long, ids binary, vector binary")
     queries = v.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = queries.mapInArrow(ask, "part long, query_id long, names binary, vector binary")
-    found = cells.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda a, b: _score(a, b, dim, k + 1), "query_id long, found binary")
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(k), OUT)
+    done, want = [], None
+    for step, n in ((1, probes), (2, 10 * probes)):
+        cells = classes.mapInArrow(index, "part long, name long, ids binary, vector binary")
+        got = ranked(cells, queries.mapInArrow(ask(step, n), "part long, query_id long, names binary, vector binary"))
+        short = _short(queries, got, k)
+        if want is None and not short.isEmpty():
+            want = min(k, v.select("id").distinct().limit(k + 1).count() - 1)
+            short = _short(queries, got, want)
+        short = written(short, "ann-short")
+        done.append(got.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*got.columns))
+        queries = short
+        if short.isEmpty():
+            break
+    else:
+        # Held against every vector: blocks of queries meet parts of the vectors, all in one cell
+        blocks, shares = -(-queries.count() // 4096), -(-rows // part_rows)
+        cells = classes.mapInArrow(_plain, "name long, ids binary, vector binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) * shares + F.pmod(F.xxhash64("vector"), F.lit(shares)))
+        asked = queries.mapInArrow(_plain_query, "query_id long, names binary, vector binary")
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))) + F.pmod(F.xxhash64("query_id"), F.lit(blocks)) * shares)
+        kinds = F.col("part").cast("long").alias("part")
+        done.append(ranked(cells.select(kinds, "name", "ids", "vector"), asked.select(kinds, "query_id", "names", "vector")))
+    return reduce(DataFrame.unionByName, done)

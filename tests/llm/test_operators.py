@@ -272,6 +272,32 @@ def test_nearest(spark):
     assert [x.vec_id for x in ann.nearest(few).orderBy("rank").collect()] == [1, 2] and ann.nearest(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("norm", [1.0, 10.0, 1e200])
+def test_nearest_beside_a_long_vector(spark, norm):
+    vectors = np.random.default_rng(6).normal(size=(1000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[7] *= norm
+    got = defaultdict(list)
+    for x in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect():
+        got[x.query_id].append(x.vec_id)
+    hits = 0
+    for q in range(0, 1000, 20):
+        scores = vectors @ vectors[q]
+        hits += len(set(got[q]) & set(sorted((i for i in range(1000) if i != q), key=lambda i: -scores[i])[:20]))
+        assert len(got[q]) == len(set(got[q])) == 20
+    assert hits / (20 * 50) >= 0.9
+
+
+def test_nearest_holds_short_queries_against_all(spark):
+    r = np.random.default_rng(3)
+    axis = np.r_[1.0, np.zeros(7)]
+    vectors = np.vstack([axis + r.normal(size=(10, 8)) / 100, -axis + r.normal(size=(30, 8)) / 100])  # 9 near, the rest at the opposite pole
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    scores = vectors @ vectors[0]
+    got = [x.vec_id for x in ann.nearest(table).where("query_id = 0").orderBy("rank").collect()]
+    assert got == sorted(range(1, 40), key=lambda i: -scores[i])[:20]
+
+
 def test_apportionment(spark):
     r = random.Random(1)
     for _ in range(2):
