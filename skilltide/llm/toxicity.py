@@ -97,10 +97,11 @@ def character_model(docs: DataFrame, text_col: str) -> np.ndarray:
 
 def decode(lattice: list[list[tuple[str, float]]], model) -> str:
     """Viterbi: the best string through a lattice of (output, log cost) choices; states are the last two symbols."""
-    states = {(0, 0): (0.0, "")}
+    # A state keeps its path as (path before, output): a lattice of any length takes linear time
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in [*lattice, [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for out, cost in choices:
                 x, y, s = a, b, score + cost
                 for c in out:
@@ -109,9 +110,13 @@ def decode(lattice: list[list[tuple[str, float]]], model) -> str:
                         s += model[(x * SYMBOLS + y) * SYMBOLS + k]
                         x, y = y, k
                 if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = (s, text + out)
+                    after[x, y] = (s, (path, out))
         states = after
-    return max(states.values())[1].strip()
+    path, found = max(states.values(), key=lambda v: v[0])[1], []
+    while path is not None:
+        path, out = path
+        found.append(out)
+    return "".join(reversed(found)).strip()
 
 
 def _choices(token: str) -> list[list[tuple[str, float]]]:
@@ -122,6 +127,8 @@ def _choices(token: str) -> list[list[tuple[str, float]]]:
             n += 1
         if c.isalpha() and n > 1:
             out.append([(c, REPEATED), (c * 2, 0.0 if n == 2 else REPEATED)])
+        elif c in LEET and n > 2:  # a stretched sign is one or two letters, or stays as it is
+            out.append([(c * n, 0.0), *((x * k, SUBSTITUTED + REPEATED) for x in LEET[c] for k in (1, 2))])
         else:
             out.extend([[(c, 0.0), *((x, SUBSTITUTED) for x in LEET.get(c, ""))]] * n)
         i += n
@@ -137,7 +144,7 @@ class Restorer:
     def token(self, token: str) -> list[str]:
         """Of one lower-case token (split at white space)."""
         if token.isalpha():
-            return [decode(_choices(token[:64]), self.model) + token[64:]] if _RUN.search(token) else [token]
+            return [decode(_choices(token), self.model)] if _RUN.search(token) else [token]
         core = _CORE.sub("", token)
         if _SPLIT.fullmatch(core):
             return self.spaced(re.sub(r"[.\-_*~]", " ", core))
@@ -145,7 +152,7 @@ class Restorer:
         for part in re.split(r"[^\w$@!|+(€£¡]+|_", core):
             if not part or part.isalpha() and not _RUN.search(part):
                 found += [part] if part else []
-            elif len(part) <= 64 and _LETTERS.search(part) and (_MARKED.search(part) or _RUN.search(part)):
+            elif _LETTERS.search(part) and (_MARKED.search(part) or _RUN.search(part)):
                 found += _LETTERS.findall(decode(_choices(part), self.model))
                 found += [w for w in _LETTERS.findall(part) if len(w) > 3]
             else:
@@ -154,13 +161,10 @@ class Restorer:
 
     def spaced(self, letters: str) -> list[str]:
         """Of characters with a gap after each: the lattice may join or keep every gap."""
-        found, chars = [], letters.split()
-        for i in range(0, len(chars), 48):
-            lattice = []
-            for c in chars[i : i + 48]:
-                lattice += [[(c, 0.0), *((x, SUBSTITUTED) for x in LEET.get(c, ""))], [("", 0.0), (" ", GAP)]]
-            found += _LETTERS.findall(decode(lattice[:-1], self.model))
-        return found
+        lattice = []
+        for c in letters.split():
+            lattice += [[(c, 0.0), *((x, SUBSTITUTED) for x in LEET.get(c, ""))], [("", 0.0), (" ", GAP)]]
+        return _LETTERS.findall(decode(lattice[:-1], self.model))
 
     def words(self, text: str) -> set[str]:
         """All restored words of a whole text."""

@@ -98,6 +98,18 @@ def test_deobfuscation():
     assert "idiot" in restore.words("you i d i o t") and restore.words("") == set()
 
 
+def test_deobfuscation_of_any_length():
+    model = np.full((64,) * 3, -8.0, np.float32)
+    s = [0, 0, *map(toxicity.symbol, "idiot"), 0]
+    for a, b, c in zip(s, s[1:], s[2:]):
+        model[a, b, c] = -1.0
+    restore = toxicity.Restorer(model)
+    assert [restore.token(t)[0] for t in ("idi" + "o" * 100 + "t", "1di" + "o" * 100 + "t", "id" + "1" * 100 + "ot", ".".join("idiot" * 30))] == ["idiot"] * 4
+    assert restore.spaced(" ".join("idiot" * 30)) == ["idiot"] * 30
+    assert restore.words(" ".join("idiot" * 30)) == {"i", "d", "o", "t", "idiot"}
+    assert restore.spaced(" ".join("1diot" * 20_000)) == ["idiot"] * 20_000
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(1)
     model = np.log(r.dirichlet(np.ones(64), (64, 64))).astype(np.float32)
