@@ -107,7 +107,7 @@ class Matcher:
                     found.append(self.best("\n".join(parts)))
                 else:  # a line that is a text by itself: the sentences around the cue
                     found.append(self.best(low[max(start, m.start() - 150) : m.end() + 300]))
-                    seen = m.start() - 1
+                    seen = start - 1  # later cues of the line have sentences of their own
                     break
                 if nxt < 0:
                     break

@@ -73,6 +73,16 @@ def test_licenses(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def matcher():
+    return licenses.Matcher({w: 3.0 for w in licenses.VOCABULARY}, 6.0)
+
+
+def test_every_cue_of_a_long_line():
+    line = f"{'x' * 999} copyright {'y ' * 2250}" + "licensed under cc by 4.0." + " z" * 100
+    assert matcher().scan(line.replace("copyright", "nothing"), False)[1] == matcher().scan(line, False)[1] == "CC-BY-4.0"
+    assert matcher().scan(line, False) == matcher().scan(line.replace("copyright", "nothing"), False)
+
+
 def test_token_counts(spark):
     sp, public = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
     model = public.path("piece_bpe_32k.model")
