@@ -79,8 +79,27 @@ def matcher():
 
 def test_every_cue_of_a_long_line():
     line = f"{'x' * 999} copyright {'y ' * 2250}" + "licensed under cc by 4.0." + " z" * 100
-    assert matcher().scan(line.replace("copyright", "nothing"), False)[1] == matcher().scan(line, False)[1] == "CC-BY-4.0"
-    assert matcher().scan(line, False) == matcher().scan(line.replace("copyright", "nothing"), False)
+    assert matcher().scan(line.replace("copyright", "nothing"))[1] == matcher().scan(line)[1] == "CC-BY-4.0"
+    assert matcher().scan(line) == matcher().scan(line.replace("copyright", "nothing"))
+
+
+def test_notices_among_other_words():
+    texts = {
+        "Released under the MIT License. Please keep this notice in copies.": "MIT",
+        "This project is released under the MIT license, see the file for details.": "MIT",
+        "Copyright (c) 2021 Jane Doe. All rights reserved.": "Proprietary",
+        "// SPDX-License-Identifier: MIT": "MIT",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */": "(MIT OR Apache-2.0)",
+        f"{prose(1, 20)} Licensed under CC BY 4.0. {prose(2, 20)}": "CC-BY-4.0",
+        f"{prose(1, 20)} Licensed under CC BY-NC-SA 4.0. {prose(2, 20)}": "CC-BY-NC-SA-4.0",
+        "Copyright Jane Doe. All rights reserved.\n# Licensed under the Apache\n# License, Version 2.0.": "Apache-2.0",
+        f"{prose(1, 9)} GNU Lesser General Public License, version 3. {prose(2, 9)}": "LGPL-3.0",
+        "The SPDX-License-Identifier: is a line": None,
+        "Released under the Foobar License.": None,
+        "The driving licence is issued under the rules of the road.": None,
+    }
+    assert {t: name if score >= 0.7 else None for t in texts for score, name in [matcher().scan(t)]} == texts
 
 
 def test_token_counts(spark):
