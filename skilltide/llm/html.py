@@ -9,14 +9,16 @@ children. Branches below a threshold leave every page of that host: they say the
 same on page after page.
 
 Elements that declare themselves noise (menus, headers, footers, side bars,
-notices, adverts, forms, scripts, comments) have importance 0, and declared main
-text (article, main) has 1, so that passages which pages share stay. If a page
-declares its main text, only that is taken.
+notices, adverts, forms, scripts, comments) have importance 0. If a page declares
+its main text (article, main), only that is taken, and the declaration is a prior:
+a block inside it, told by its path and text, has as importance the share of the
+host's such pages that lack it, counted as if ``PRIOR`` more lacked it, so passages
+which some or few pages share stay. If all of a page would go, all of it stays.
 
 Edge cases: null and empty html give an empty text; unclosed and stray tags are
 accepted; texts of any length are read whole; a null url is a host of its own; a
-host with fewer than ``least_pages`` pages has no tree to judge by; repeated rows
-are extracted each; an empty table gives an empty result; other columns are not
+path is judged if it is on ``least_pages`` pages or on all pages, two at least, of a
+smaller host; repeated rows are extracted each; an empty table gives an empty result; other columns are not
 read.
 """
 
@@ -49,14 +51,17 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 GAMMA, LOW = 0.9, 0.3
+#: Pages without a block that the declaration of main text is worth.
+PRIOR = 8
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "main", "children", "texts")
+    __slots__ = ("tag", "path", "noise", "main", "children", "digest")
 
     def __init__(self, tag: str, path: int, noise: bool, main: bool):
         self.tag, self.path, self.noise, self.main = tag, path, noise, main
         self.children: list[Node | str] = []
+        self.digest = 0
 
 
 def _declared(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, str]:
@@ -133,6 +138,19 @@ def _walk(node: Node) -> Iterator[Node]:
         todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
 
+def digest_blocks(root: Node) -> set[int]:
+    """Gives the nodes in declared main text the digest of their path and text, below 0 (0 without text); those of blocks."""
+    found = set()
+    for n in reversed(list(_walk(root))):
+        if n.main and not n.noise:
+            parts = [" ".join(c.split()) if isinstance(c, str) else str(c.digest or "") for c in n.children]
+            if any(parts):
+                n.digest = -(xxhash.xxh3_64_intdigest("\n".join([str(n.path), *parts])) >> 1) - 1
+                if n.tag not in INLINE:
+                    found.add(n.digest)
+    return found
+
+
 def nodes_of(root: Node) -> dict[int, tuple[int, int]]:
     """path: (style, content) of the page, over all nodes of the path together."""
     found: dict[int, list[list[str]]] = {}
@@ -154,7 +172,7 @@ def _blocks(node: Node, out: list[str], taken: bool, declared: bool, low: dict[i
         if isinstance(c, str):
             if keep:
                 out.append(c)
-        elif not c.noise:
+        elif not c.noise and not (c.digest and c.tag not in INLINE and c.digest in low):
             total += _blocks(c, out, keep, declared, low)
             parts += 1
     if block:
@@ -173,9 +191,12 @@ def main_text(text: str | None, low: dict[int, float] | None = None) -> str:
         return ""
     root = parse(text)
     declared = any(n.main and not n.noise for n in _walk(root))
+    if declared and low:
+        digest_blocks(root)
     out: list[str] = []
     _blocks(root, out, False, declared, low or {})
-    return " ".join(html.unescape("".join(out)).split())
+    found = " ".join(html.unescape("".join(out)).split())
+    return found if found or not low else main_text(text)
 
 
 def host_of(url: Column) -> Column:
@@ -183,30 +204,41 @@ def host_of(url: Column) -> Column:
 
 
 def importance(pages: DataFrame, least_pages: int) -> DataFrame:
-    """(host, low: path -> importance) from pages (host, html): nodes whose own importance is below 1."""
+    """(host, low: path or digest -> importance) from pages (host, html): nodes whose own importance is below 1, and shared blocks of main text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[tuple, int] = {}
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, values in nodes_of(parse(text or "")).items():
-                    for kind, value in enumerate(values):
-                        key = (host, path, kind, value)
-                        counts[key] = counts.get(key, 0) + 1
+                root = parse(text or "")
+                keys = [(host, path, kind, value) for path, values in nodes_of(root).items() for kind, value in enumerate(values)]
+                if any(n.main and not n.noise for n in _walk(root)):
+                    keys += [(host, d, 2, 0) for d in (0, *digest_blocks(root))]
+                for key in keys:
+                    counts[key] = counts.get(key, 0) + 1
             columns = [*zip(*counts, strict=True)] if counts else [[], [], [], []]
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts.values(), pa.int64())], ["host", "path", "kind", "value", "n"])
 
     seen = pages.mapInArrow(run, "host string, path long, kind int, value long, n long")
-    seen = seen.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    seen = written(seen.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n")), "html-counts")  # read three times
     # kind 0, styles: entropy of their shares. kind 1, contents: a content on k of m pages has entropy log k / log m
-    node = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    node = seen.where("kind < 2").groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     mean = F.when(F.col("m") > 1, F.col("s") / F.col("m") / F.log("m")).otherwise(0.0)
-    node = node.where(F.col("m") >= least_pages).withColumn("value", 1 - mean)
-    node = node.groupBy("host", "path").agg(F.max(F.when(F.col("kind") == 1, F.col("value"))).alias("content"), F.max(F.when(F.col("kind") == 0, F.col("value"))).alias("style"))
-    both = node.select("host", "path", F.greatest("content", "style").alias("own")).where("own < 0.99")
-    return both.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "own"))).alias("low"))
+    node = node.where("m > 1").withColumn("value", 1 - mean)
+    node = node.groupBy("host", "path").agg(F.max("m").alias("m"), F.max(F.when(F.col("kind") == 1, F.col("value"))).alias("content"), F.max(F.when(F.col("kind") == 0, F.col("value"))).alias("style"))
+    own = F.greatest("content", "style")
+    both = node.select("host", "path", own.alias("own"), "m").where("own < 0.99 or path = 0")
+    # kind 2: blocks of main text; a low one is on more than (1 - LOW) * (m + PRIOR) of the host's m pages, so few rows meet
+    least = (1 - LOW) * PRIOR / LOW
+    blocks = seen.where((F.col("kind") == 2) & (F.col("path") < 0) & (F.col("n") > least)).select("host", "path", "n")
+    pages_of = seen.where((F.col("kind") == 2) & (F.col("path") == 0) & (F.col("n") > least)).select("host", F.col("n").alias("m"))
+    shared = blocks.join(pages_of, "host").select("host", "path", (1 - F.col("n") / (F.col("m") + PRIOR)).alias("own"), F.lit(least_pages).cast("long").alias("m")).where(F.col("own") < LOW)
+    # The root, path 0, is on all pages of its host
+    of = both.union(shared).groupBy("host").agg(F.max(F.when(F.col("path") == 0, F.col("m"))).alias("pages"), F.collect_list(F.struct("path", "own", "m")).alias("all"))
+    judged = F.filter("all", lambda x: (x["own"] < 0.99) & (x["m"] >= F.least(F.lit(least_pages), F.col("pages"))))
+    return of.select("host", F.map_from_entries(F.transform(judged, lambda x: F.struct(x["path"], x["own"]))).alias("low")).where(F.size("low") > 0)
 
 
 def extract(pages: DataFrame, least_pages: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -224,6 +224,19 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_tree_decides(spark):
+    page = "<body><article><h1>Head {0}</h1><p>own {0}</p><p>Also on some: {1}</p><div><p>Read our other stories.</p></div></article></body>"
+    rows = [(i, "http://a.org/x", page.format(i, i % 2)) for i in range(60)]
+    rows += [(100 + i, "http://b.org/x", f"<body><div class='top'>same words</div><div class='text'>own {i} words</div></body>") for i in range(2)]
+    rows += [(200 + i, "http://c.org/x", "<body><article><p>One text.</p></article></body>") for i in range(40)]
+    rows += [(300 + i, "http://d.org/x", "<body><div>One text.</div></body>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert all(got[i] == f"Head {i} own {i} Also on some: {i % 2}" for i in range(60))  # a block of all pages goes, one of half of them stays
+    assert [got[100], got[101]] == ["own 0 words", "own 1 words"]
+    assert {got[i] for i in (*range(200, 240), 300, 301)} == {"One text."}  # pages that are copies keep their text
+
+
 def links_by_hand(rows):
     sets = {}
     for i, t, _ in rows:
