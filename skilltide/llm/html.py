@@ -27,6 +27,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,7 +48,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table tbody thead tfoot tr body html article main section div nav aside footer header".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg(?!(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>))\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 GAMMA, LOW = 0.9, 0.3
@@ -88,7 +89,12 @@ def _declared(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool,
 def parse(text: str) -> Node:
     """The page's tree; a child is a node or a piece of undecoded text."""
     root = Node("", 0, False, False)
-    stack, at = [root], 0
+    stack, at, opened = [root], 0, Counter()
+
+    def close(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     for m in _TOKEN.finditer(text):
         if m.start() > at:
             stack[-1].children.append(text[at : m.start()])
@@ -98,24 +104,24 @@ def parse(text: str) -> Node:
             continue
         tag = name.lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag in INLINE and stack[i].tag not in INLINE:
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag not in INLINE:
                     break
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(opened[t] > 0 for t in SIBLINGS[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SIBLINGS[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _SCOPES:
                     break
@@ -123,8 +129,9 @@ def parse(text: str) -> Node:
         noise, main, first = _declared(tag, m[4], above.main)
         node = Node(tag, xxhash.xxh3_64_intdigest(f"{above.path}/{tag}.{first}") >> 1, noise or above.noise, main or above.main)
         above.children.append(node)
-        if tag not in VOID and not m[4].endswith("/") and len(stack) < 200:
+        if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     if at < len(text):
         stack[-1].children.append(text[at:])
     return root
@@ -161,28 +168,39 @@ def nodes_of(root: Node) -> dict[int, tuple[int, int]]:
     return {p: tuple(xxhash.xxh3_64_intdigest("\n".join(x).strip()) - (1 << 63) for x in v) for p, v in found.items()}
 
 
-def _blocks(node: Node, out: list[str], taken: bool, declared: bool, low: dict[int, float]) -> float:
-    """Append the kept text of a branch with gaps at its blocks; its composite importance."""
-    keep = taken or node.main or not declared
-    mark, parts, total = len(out), 0, 0.0
-    block = node.tag not in INLINE
-    if block:
-        out.append(" ")
-    for c in node.children:
-        if isinstance(c, str):
-            if keep:
-                out.append(c)
-        elif not c.noise and not (c.digest and c.tag not in INLINE and c.digest in low):
-            total += _blocks(c, out, keep, declared, low)
-            parts += 1
-    if block:
-        out.append(" ")
-    own = low.get(node.path, 1.0)
-    value = own if not parts else (1 - GAMMA) * own + GAMMA * total / parts
-    if value < LOW and not node.main:
-        del out[mark:]
-        out.append(" ")
-    return 1.0 if node.main else value
+def _blocks(root: Node, out: list[str], declared: bool, low: dict[int, float]) -> None:
+    """Append the kept text of a page with gaps at its blocks; branches of low composite importance go."""
+
+    def entry(node: Node, taken: bool) -> list:
+        mark = len(out)
+        if node.tag not in INLINE:
+            out.append(" ")
+        # node, whether its text is kept, place in out, children left, parts, their importance
+        return [node, taken or node.main or not declared, mark, iter(node.children), 0, 0.0]
+
+    todo = [entry(root, False)]
+    while todo:
+        top = todo[-1]
+        node, keep, mark, left = top[:4]
+        for c in left:
+            if isinstance(c, str):
+                if keep:
+                    out.append(c)
+            elif not c.noise and not (c.digest and c.tag not in INLINE and c.digest in low):
+                todo.append(entry(c, keep))
+                break
+        else:
+            todo.pop()
+            if node.tag not in INLINE:
+                out.append(" ")
+            own, parts, total = low.get(node.path, 1.0), top[4], top[5]
+            value = own if not parts else (1 - GAMMA) * own + GAMMA * total / parts
+            if value < LOW and not node.main:
+                del out[mark:]
+                out.append(" ")
+            if todo:
+                todo[-1][4] += 1
+                todo[-1][5] += 1.0 if node.main else value
 
 
 def main_text(text: str | None, low: dict[int, float] | None = None) -> str:
@@ -194,7 +212,7 @@ def main_text(text: str | None, low: dict[int, float] | None = None) -> str:
     if declared and low:
         digest_blocks(root)
     out: list[str] = []
-    _blocks(root, out, False, declared, low or {})
+    _blocks(root, out, declared, low or {})
     found = " ".join(html.unescape("".join(out)).split())
     return found if found or not low else main_text(text)
 

@@ -237,6 +237,14 @@ def test_html_tree_decides(spark):
     assert {got[i] for i in (*range(200, 240), 300, 301)} == {"One text."}  # pages that are copies keep their text
 
 
+def test_html_of_any_depth():
+    for n in (250, 20_000):
+        page = f"<div><article>{'<div>' * n}in<nav>menu</nav>{'</div>' * n} rest</article> out</div>"
+        assert html.main_text(page) == "in rest"
+    assert html.main_text('<article><p>a<svg class="i"/> b</p><p>c</p></article>') == "a b c"
+    assert html.main_text('<article><p>a<svg data-x="/>"><text>no</text></svg> b<svg/>c<svg viewBox="0" /></p><p>d</p></article>') == "a bc d"
+
+
 def links_by_hand(rows):
     sets = {}
     for i, t, _ in rows:
