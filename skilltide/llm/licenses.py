@@ -188,8 +188,7 @@ def document_frequency(files: DataFrame, text_col: str) -> tuple[dict[str, int],
             for text in batch.column(0).to_pylist():
                 n += 1
                 if text:
-                    low = text.lower()
-                    counts.update(wanted.intersection(_WORD.findall(low)) if any(c in low for c in _CUES) else wanted.intersection(low.split()))
+                    counts.update(wanted.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(["", *counts], pa.string()), pa.array([n, *counts.values()], pa.int64())], ["word", "n"])
 
     got = files.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()

@@ -102,6 +102,12 @@ def test_notices_among_other_words():
     assert {t: name if score >= 0.7 else None for t in texts for score, name in [matcher().scan(t)]} == texts
 
 
+def test_document_frequency_counts_by_one_rule(spark):
+    files = spark.createDataFrame([("The software, its terms.",), ("software terms",), ("Copyright: software, terms.",), (None,)], "text string")
+    counts, n = licenses.document_frequency(files, "text")
+    assert (counts["software"], counts["terms"], n) == (3, 3, 4)
+
+
 def test_token_counts(spark):
     sp, public = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
     model = public.path("piece_bpe_32k.model")
