@@ -65,7 +65,7 @@ def src12_truth(s, d):
 
 
 def src12_diagnostics(s, d):
-    return rl.relation_diagnostics(relation_rows(s, d)).where("code != 'incoherence_code_intitule'")
+    return rl.relation_diagnostics(relation_rows(s, d))
 
 
 def src13_neighbours(s, d):

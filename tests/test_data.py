@@ -156,3 +156,12 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.write_csv(df, str(tmp_path / "t"))
     assert sinks.markdown_table(df).splitlines()[2] == "| é | 1 |"
+
+
+def test_relation_diagnostics_query_keeps_titles(spark, monkeypatch):
+    rows = [(2, "M0001", "Title 1", "M0002", "title  2", "Oui"), (3, "M0001", "Other", "M0003", "Title 3", "Non")]
+    table = spark.createDataFrame(rows, "row long, code_emploi_a string, intitule_emploi_a string, code_emploi_b string, intitule_emploi_b string, similarite string")
+    monkeypatch.setattr("skilltide.plans.data_queries.relation_rows", lambda s, d: table)
+    from skilltide.plans.data_queries import src12_diagnostics
+
+    assert [(r.code, r.subject) for r in src12_diagnostics(spark, "").collect()] == [("incoherence_code_intitule", "M0001")]
