@@ -9,9 +9,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space: what separates words in every word count and word shingle here.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Up to so many rows of one or two longs are broadcast (8 or 16 MB).
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,7 +47,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def tidy(spark: SparkSession) -> None:
@@ -56,10 +61,13 @@ def tidy(spark: SparkSession) -> None:
 def drop_table(df: DataFrame) -> None:
     """Remove the files behind a frame made by :func:`written`, once nothing reads them any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids`` (one or two longs a row), marked for broadcast if a count shows that they are few; else they are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def free_name(columns: list[str], wanted: str) -> str:

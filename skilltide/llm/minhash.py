@@ -6,18 +6,23 @@ similarity threshold falls below the chosen miss probability. Survivors are
 verified on their full shingle sets, so every link is exact.
 
 No group is ever expanded into all its pairs. Equal shingle sets are one class.
-Inside a bucket one centre is first compared with the other members (a star: as
-many pairs as members), which joins nearly all of a group of copies. In buckets
-whose members are still in several components, those outside the bucket's
-largest component are compared with all others, in blocks of bounded size inside
-a task; only pairs that pass the test leave it, so no pair of candidates in
-different components is left out.
+First each class is held against the smallest member of a bucket, that with
+which it shares most buckets (a star: one pair a class and round), which joins
+nearly all of a group of copies. What could still join two components is then
+compared in blocks of bounded bytes, whose pairs never leave their task: the
+signatures tell which rows of a block have a likely partner, only those rows are
+sent again with their full sets, and the block gives the links that join its
+components. In each bucket the members outside its largest component (left) meet
+all others (right). A bucket of few bytes is one block; the members of larger
+buckets are dealt once into chunks, and left rows visit the chunks that hold a
+member of one of their buckets. So no pair of candidates in different components
+is left out, and what is shuffled grows with the rows and not with their pairs.
 
 Edge cases: null or empty texts, and texts of white space only, have no shingles
 and are linked with nothing; a text of fewer words than the shingle width is one
 shingle; rows that repeat a document id get that document's component each; rows
 with a null id get a null component and are kept; an empty table gives an empty
-result. Other columns of the input are not read.
+result. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import drop_table, few, free_name, tidy, written
 from .shingles import MinHasher, WordHash, shingle_set
 
-#: Up to so many 8-byte ids are broadcast (8 MB); beyond that the semi-join shuffles.
-BROADCAST_IDS = 1_000_000
 BATCH = 16
 
 
@@ -88,9 +90,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, members binary")
 
 
-def _likely(pairs: DataFrame, size: int, similarity: float, miss: float) -> DataFrame:
+def _likely(pairs: DataFrame, size: int, bounds: list[tuple[int, int]]) -> DataFrame:
     """Sequential test of (a, b, sig_a, sig_b): signature batches until the posterior rules a pair out."""
-    bounds = least_matches(size, similarity, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,106 +109,215 @@ def _likely(pairs: DataFrame, size: int, similarity: float, miss: float) -> Data
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _crossed(rows: DataFrame, size: int, ratio: tuple[int, int], bounds: list[tuple[int, int]], best: int | None = None) -> DataFrame:
-    """Pairs (a < b) of different components that pass the sequential test, from sorted rows (bucket, p, q, left, id, comp, n, sig).
-
-    With ``best``, of each left row only so many pairs, those with the most matches.
-
-    A group (bucket, p, q) holds a block of left rows and a block of others, each of bounded size.
+def _pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups, one by one, of rows that come sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        edges = [0, *(1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))).tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            held.append(batch.slice(i, j - i))
+            if j < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Block:
+    """The rows of one block: those with ``role`` 1 and 3 are right, those with 2 and 3 left.
+
+    ``band`` is the number of the bucket's band where the block is one bucket, else -1.
     """
 
-    def compared(ids, comp, n, sig, left) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x, y = np.flatnonzero(left), np.flatnonzero(~left)
-        for i in range(0, len(x), 128):
-            one = x[i : i + 128]
-            least, most = np.minimum.outer(n[one], n[y]), np.maximum.outer(n[one], n[y])
-            u, v = np.nonzero((comp[one][:, None] != comp[y]) & (ratio[1] * least >= ratio[0] * most))
-            a, b = one[u], y[v]
-            matches, start = np.zeros(len(a), np.int64), 0
-            for end, least_m in bounds:
-                matches += (sig[a, start:end] == sig[b, start:end]).sum(axis=1)
-                good = matches >= least_m
-                a, b, matches, start = a[good], b[good], matches[good], end
-            if best and len(a):
-                order = np.lexsort((b, -matches, a))
-                a, b = a[order], b[order]
-                first = np.searchsorted(a, a)
-                a, b = a[np.arange(len(a)) - first < best], b[np.arange(len(a)) - first < best]
-            yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+    def __init__(self, rows: pa.Table, size: int, per_band: int, ratio: tuple[int, int], bounds: list[tuple[int, int]]):
+        self.ids, self.n, self.role = (rows[k].to_numpy() for k in ("id", "n", "role"))
+        self.comp = rows["comp"].to_numpy().copy()
+        self.band, self.ratio, self.bounds = int(rows["band"][0].as_py()), ratio, bounds
+        self.sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(len(rows), size)
+        weights = np.random.default_rng(9).integers(1, 1 << 63, per_band, dtype=np.uint64) | np.uint64(1)
+        self.keys = (self.sig.reshape(len(rows), -1, per_band).astype(np.uint64) * weights).sum(axis=2)
+        self.right = np.flatnonzero(self.role != 2)
+        self.left = np.flatnonzero(self.role != 1)
+
+    def likely(self, i: int) -> np.ndarray:
+        """Right rows of other components that share a band with row i and pass the sequential test, the most alike first.
+
+        In a block that is one bucket, only those that share no earlier band: they meet there.
+        """
+        y = self.right
+        least, most = np.minimum(self.n[i], self.n[y]), np.maximum(self.n[i], self.n[y])
+        y = y[(self.comp[y] != self.comp[i]) & (self.ratio[1] * least >= self.ratio[0] * most)]
+        if self.band < 0:
+            y = y[(self.keys[y] == self.keys[i]).any(axis=1)]
+        elif self.band:
+            y = y[~(self.keys[y, : self.band] == self.keys[i, : self.band]).any(axis=1)]
+        matches, start = np.zeros(len(y), np.int64), 0
+        for end, least_m in self.bounds:
+            if not len(y):
+                break
+            matches += (self.sig[y, start:end] == self.sig[i, start:end]).sum(axis=1)
+            good = matches >= least_m
+            y, matches, start = y[good], matches[good], end
+        return y[np.argsort(-matches, kind="stable")]
+
+    def partnered(self) -> np.ndarray:
+        """Rows with a likely partner."""
+        found = np.zeros(len(self.ids), bool)
+        for i in self.left:
+            y = self.likely(i)
+            found[y] = True
+            found[i] |= len(y) > 0
+        return np.flatnonzero(found)
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Verified links that join components of the block; pairs that others have joined meanwhile are not looked at."""
+        out = []
+        for i in self.left:
+            for j in self.likely(i):
+                was, now = self.comp[j], self.comp[i]
+                if was != now and _similar(sets[i], sets[j], *self.ratio):
+                    out.append((min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])))
+                    self.comp[self.comp == was] = now
+        return out
+
+
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """den * |A and B| >= num * |A or B| for sorted distinct hashes."""
+    both = np.concatenate((x, y))
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return den * shared >= num * (len(both) - shared)
+
+
+def _partnered(blocks: DataFrame, *rule) -> DataFrame:
+    """Of sorted block rows (g0, g1, g2, band, role, id, comp, n, sig) those with a likely partner in their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            key = [rows[k].to_numpy() for k in ("bucket", "p", "q")]
-            edge = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0), True])
-            left = rows["left"].to_numpy(zero_copy_only=False)
-            ids, comp, n = (rows[k].to_numpy() for k in ("id", "comp", "n"))
-            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(len(rows), size)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, j in zip(edge[:-1], edge[1:], strict=True):
-                s = slice(i, j)
-                found += compared(ids[s], comp[s], n[s], sig[s], left[s])
-            a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        for rows in _pieces(batches, ["g0", "g1", "g2"]):
+            found = _Block(rows, *rule).partnered()
+            if len(found):
+                yield from rows.select(["g0", "g1", "g2", "band", "role", "id", "comp", "n"]).take(pa.array(found)).combine_chunks().to_batches()
+
+    return blocks.mapInArrow(run, "g0 long, g1 long, g2 long, band int, role int, id long, comp long, n long")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            last = [rows[k][len(rows) - 1].as_py() for k in ("bucket", "p", "q")]
-            same = np.all([rows[k].to_numpy() == v for k, v in zip(("bucket", "p", "q"), last, strict=True)], axis=0)
-            cut = int(np.argmax(same))  # where the last group, which may go on, begins
-            if cut:
-                yield done(rows.slice(0, cut))
-                held = rows.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield done(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long")
+def _joining(blocks: DataFrame, *rule) -> DataFrame:
+    """Links (a, b) that join components, of sorted block rows with their sets (members)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches, ["g0", "g1", "g2"]):
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows["members"]]
+            found = _Block(rows, *rule).links(sets)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Exact verdict on (a, b, set_a, set_b): den * |A and B| >= num * |A or B|."""
+    """Exact verdict on (a, b, set_a, set_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdict = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                verdict.append(den * shared >= num * (len(both) - shared))
+            sets = zip(batch.column(2), batch.column(3), strict=True)
+            verdict = [_similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair), num, den) for pair in sets]
             keep = pa.array(np.flatnonzero(verdict), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One step: the least label among a node and its neighbours, then the label of that label."""
-    heard = edges.join(labels, edges.u == labels.id).select(F.col("v").alias("id"), "comp")
-    best = labels.unionByName(heard).groupBy("id").agg(F.min("comp").alias("comp"))
-    jump = best.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-    return best.join(jump, "comp").select("id", F.least("comp", "next").alias("comp"))
+def _relabelled(frame: DataFrame, key: str, new: DataFrame) -> DataFrame:
+    """``frame`` with its labels in ``key`` replaced where ``new`` (id, comp) has another; a hot label is split by Spark's skew join."""
+    to = few(new.select(F.col("id").alias(key), F.col("comp").alias("_next")))
+    return frame.join(to, key, "left").withColumn(key, F.coalesce("_next", key)).select(*frame.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp) of the nodes of ``links`` (a, b): comp is the least id reachable."""
+    """(id, comp) of the nodes of ``links`` (a, b): comp is the least id reachable.
+
+    Each step takes the least label among a node and its neighbours, then the
+    label of that label. Only labels that are somebody's are looked up, so a
+    component of any size costs one row there.
+    """
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = edges.union(edges.select("v", "u")).persist(StorageLevel.DISK_ONLY)
-    labels = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "id").checkpoint()
-    total, was = F.sum(F.col("comp").cast("decimal(38,0)")), None
+    edges = written(edges.union(edges.select("v", "u")), "minhash-edges")
+    labels = written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "id"), "minhash-labels")
     while True:
-        now = labels.agg(total).first()[0]
-        if now == was:  # labels only ever fall
-            break
-        labels, was = _spread(edges, labels).checkpoint(), now
-    edges.unpersist()
-    return labels
+        heard = edges.join(labels, edges.u == labels.id).select(F.col("v").alias("id"), "comp")
+        best = written(labels.withColumnRenamed("comp", "was").withColumn("comp", F.col("was")).unionByName(heard.withColumn("was", F.lit(None).cast("long"))).groupBy("id").agg(F.max("was").alias("was"), F.min("comp").alias("comp")), "minhash-heard")
+        used = best.select("comp").distinct().withColumnRenamed("comp", "id")
+        jump = best.join(used, "id", "left_semi").select("id", "comp")
+        seen = Observation()
+        now = written(_relabelled(best, "comp", jump).observe(seen, F.count_if(F.col("comp") != F.col("was")).alias("changed")).select("id", "comp"), "minhash-labels")
+        for old in (labels, best):
+            drop_table(old)
+        labels = now
+        if not seen.get["changed"]:
+            drop_table(edges)
+            return labels
+
+
+def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after new links: solved on the components that the links touch, then handed down."""
+    if comp is None:
+        return components(links)
+    for k in "ab":
+        links = links.join(comp.select(F.col("id").alias(k), F.col("comp").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
+    touched = written(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "minhash-touched")
+    solved = components(touched)
+    fresh = touched.select(F.col("a").alias("id")).union(touched.select("b")).distinct().withColumn("comp", F.col("id"))
+    every = comp.unionByName(fresh.join(comp, "id", "left_anti"))
+    out = written(_relabelled(every, "comp", solved), "minhash-components")
+    for old in (touched, solved, comp):
+        drop_table(old)
+    return out
+
+
+def _blocks(members: DataFrame, comp: DataFrame | None, brief: DataFrame, most: int) -> DataFrame:
+    """Rows (g0, g1, g2, band, role, id, comp, n) of the blocks of buckets whose members are in several components.
+
+    Blocks hold about ``most`` bytes of signatures and sets on either side.
+    """
+    seen = members.select("bucket", "band", "id").join(brief.select("id", "n", "weight"), "id")
+    seen = seen.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")) if comp is not None else seen.withColumn("comp", F.col("id"))
+    by = seen.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("w"))
+    parts = by.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("w").alias("w_all"), F.max(F.struct("k", "comp")).alias("m"))
+    parts = parts.where("parts > 1").select("bucket", "w_all", F.col("m.comp").alias("major"))
+    active = written(seen.join(parts, "bucket").withColumn("is_left", F.expr("comp != major")), "minhash-active")
+
+    whole = active.where(F.col("w_all") <= most).select(F.col("bucket").alias("g0"), F.lit(-1).cast("long").alias("g1"), F.lit(0).cast("long").alias("g2"), "band", F.when(F.col("is_left"), 3).otherwise(1).alias("role"), "id", "comp", "n")
+
+    large = active.where(F.col("w_all") > most)
+    # Members are dealt by one of their buckets, so that a group's members stand together, then by hash
+    home = written(large.groupBy("id").agg(F.min("bucket").alias("g0"), F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("weight").alias("weight")), "minhash-home")
+    dealt = home.join(home.groupBy("g0").agg(F.ceil(F.sum("weight") / most).alias("chunks")), "g0").withColumn("g1", F.pmod(F.xxhash64("id"), "chunks"))
+    dealt = written(dealt.drop("chunks"), "minhash-dealt")
+    held = large.select("bucket", "id").join(dealt.select("id", "g0", "g1"), "id").select("bucket", "g0", "g1").distinct()
+    visits = large.where("is_left").select("bucket", "id").join(held, "bucket").select("id", "g0", "g1").distinct()
+    visits = visits.join(dealt.select("id", "comp", "n", "weight"), "id")
+    visits = written(visits, "minhash-visits")
+    turns = visits.groupBy("g0", "g1").agg(F.ceil(F.sum("weight") / most).alias("turns"))
+    left = visits.join(turns, ["g0", "g1"]).withColumn("g2", F.pmod(F.xxhash64("id", F.lit(1)), "turns")).withColumn("role", F.lit(2))
+    right = dealt.join(turns, ["g0", "g1"]).withColumn("g2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).withColumn("role", F.lit(1))
+    names = ["g0", "g1", "g2", "band", "role", "id", "comp", "n"]
+    out = whole
+    for side in (left, right):
+        out = out.unionByName(side.withColumn("band", F.lit(-1)).select(*names))
+    out = written(out, "minhash-blocks")
+    for old in (active, home, dealt, visits):
+        drop_table(old)
+    return out
+
+
+def _sorted(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("g0", "g1", "g2").sortWithinPartitions("g0", "g1", "g2", "id", "role")
 
 
 def near_duplicates(
@@ -219,86 +329,107 @@ def near_duplicates(
     bands: int = 48,
     rows: int = 5,
     miss: float = 1e-6,
-    block: int = 512,
-    rounds: int = 3,
+    block_bytes: int = 2 << 20,
+    rounds: int = 2,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     With 48 bands of 5 rows, a pair at the threshold shares no band with a
     probability of 2e-6. ``miss`` is the posterior probability under which a
-    candidate is dropped unverified; ``block`` bounds the rows compared at once;
-    ``rounds`` of stars come before the blocks, which alone would find all as well.
+    candidate is dropped unverified; ``block_bytes`` bounds what is compared at
+    once; ``rounds`` of stars come before the blocks, which alone would find all
+    as well.
     """
-    spark, size, similarity = docs.sparkSession, bands * rows, threshold[0] / threshold[1]
-    sig = written(signatures(docs, id_col, text_col, width, size), "minhash-signatures")
-    reps = (
-        sig.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "sig")).alias("m")).select("digest", "m.*")
-    )
-    reps = written(reps, "minhash-classes")
+    signed = written(signatures(docs, id_col, text_col, width, bands * rows), "minhash-signatures")
+    reps = signed.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", F.col("n_shingles").alias("n"), "sig")).alias("m"))
+    reps = written(reps.select("digest", "m.*"), "minhash-classes")
+    every = written(signed.select("id", "n_shingles", "digest"), "minhash-rows")
+    drop_table(signed)
+
+    comp = _components(docs, reps, id_col, text_col, threshold, width, bands, rows, miss, block_bytes, rounds)
+    classes = reps.select("digest", F.col("id").alias("component_id"))
+    if comp is not None:
+        known = comp.withColumnRenamed("id", "component_id")
+        classes = classes.join(known, "component_id", "left").select("digest", F.coalesce("comp", "component_id").alias("component_id"))
+    classes = written(classes, "minhash-verdicts")
+    for old in (reps, *([comp] if comp is not None else [])):
+        drop_table(old)
+    # Rows without a set pass by the join; a hot digest is split by Spark's skew join
+    out = every.where("digest is not null").join(classes, "digest", "left").unionByName(every.where("digest is null").withColumn("component_id", F.lit(None).cast("long")))
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
-    # Buckets that hold at least two classes
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * rows) + 1, F.lit(2 * rows))))
-    banded = reps.select("id", F.explode(keys).alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = banded.join(full, "bucket").checkpoint()
 
-    nodes = members.select("id").distinct().checkpoint()
-    n_nodes = nodes.count()
-    few = F.broadcast(nodes) if n_nodes <= BROADCAST_IDS else nodes
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").join(few, "id", "left_semi")
-    sets = written(_sets(texts, width).dropDuplicates(["id"]), "minhash-sets") if n_nodes else None
-    brief = reps.join(few, "id", "left_semi").select("id", "n_shingles", "sig").checkpoint()
+def _components(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int], width: int, bands: int, per_band: int, miss: float, block_bytes: int, rounds: int) -> DataFrame | None:
+    """(id, comp) of the classes that are linked with another; None if there is none."""
+    size, bits = bands * per_band, max(1, (bands - 1).bit_length())
+    bounds = least_matches(size, threshold[0] / threshold[1], miss)
+
+    # Buckets that hold at least two classes, each with its smallest id
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.shiftleft(F.xxhash64(i, F.substring("sig", i * (2 * per_band) + 1, F.lit(2 * per_band))), bits).bitwiseOR(i.cast("long")))
+    banded = reps.select("id", F.explode(keys).alias("bucket"))
+    full = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket", "lo")
+    members = banded.join(full, "bucket").withColumn("band", F.col("bucket").bitwiseAND((1 << bits) - 1).cast("int"))
+    members = written(members, "minhash-members")
+    nodes = written(members.select("id").distinct(), "minhash-nodes")
+    if nodes.isEmpty():
+        for old in (members, nodes):
+            drop_table(old)
+        return None
+    one = few(nodes)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").join(one, "id", "left_semi")
+    sets = written(_sets(texts, width).dropDuplicates(["id"]), "minhash-sets")
+    brief = written(reps.join(one, "id", "left_semi").select("id", "n", "sig", (F.length("sig") + 8 * F.col("n")).alias("weight")), "minhash-briefs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = (brief.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-        both = pairs.join(x, "a").join(y, "b").where(
-            (F.least("n_a", "n_b") * threshold[1] >= F.greatest("n_a", "n_b") * threshold[0])
-        )
-        likely = _likely(both.select("a", "b", "sig_a", "sig_b"), size, similarity, miss)
-        x, y = (sets.select(F.col("id").alias(k), F.col("members").alias(f"set_{k}")) for k in "ab")
-        return _linked(likely.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b"), *threshold)
-
-    tested = links = spark.createDataFrame([], "a long, b long")
-    comp = spark.createDataFrame([], "id long, comp long")
-    if n_nodes:
-        def labelled(frame: DataFrame, key: str, name: str) -> DataFrame:
-            known = comp.select(F.col("id").alias(key), F.col("comp").alias(name))
-            return frame.join(known, key, "left").withColumn(name, F.coalesce(name, key))
-
-        def tried(pairs: DataFrame) -> None:
-            nonlocal tested, links, comp
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(verified(pairs).checkpoint())
-            comp = components(links)
-            tidy(spark)
-
-        # Stars: members with their buckets' smallest ids, one pair a member and round, as long as it could join components
-        starred = members.join(members.groupBy("bucket").agg(F.min("id").alias("a")), "bucket").where("id != a")
-        stars = starred.select("a", F.col("id").alias("b")).distinct().checkpoint()
-        for _ in range(rounds):
-            apart = labelled(labelled(stars, "a", "comp_a"), "b", "comp_b").where("comp_a != comp_b").join(tested, ["a", "b"], "left_anti")
-            tried(apart.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-
-        # Blocks: in buckets of several components, members outside the largest one against all others;
-        # first the best pairs of each, then whatever could still join components
-        for best in (2, None):
-            seen = labelled(members, "id", "comp")
-            parts = seen.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("n_all"), F.max(F.struct("k", "comp")).alias("m"))
-            parts = parts.where("n_all > m.k").select("bucket", F.col("m.comp").alias("major"), F.ceil((F.col("n_all") - F.col("m.k")) / block).alias("ps"), F.ceil(F.col("n_all") / block).alias("qs"))
-            seen = seen.join(parts, "bucket").join(brief, "id").withColumnRenamed("n_shingles", "n")
-            place, fields = F.xxhash64("id"), ["id", "comp", "n", "sig"]
-            every = seen.withColumn("q", F.pmod(place, "qs")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ps") - 1)))
-            minor = seen.where("comp != major").withColumn("p", F.pmod(place, "ps")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)))
-            both = every.select("bucket", "p", "q", F.lit(False).alias("left"), *fields).unionByName(minor.select("bucket", "p", "q", F.lit(True).alias("left"), *fields))
-            both = both.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-            tried(_crossed(both, size, threshold, least_matches(size, similarity, miss), best).distinct())
-
-    classes = reps.select("digest", F.col("id").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    out = sig.select("id", "n_shingles", "digest").join(classes, "digest", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        both = pairs
+        for k in "ab":
+            both = both.join(brief.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")), k)
+        both = both.where(F.least("n_a", "n_b") * threshold[1] >= F.greatest("n_a", "n_b") * threshold[0])
+        likely = _likely(both.select("a", "b", "sig_a", "sig_b"), size, bounds)
+        for k in "ba":
+            likely = likely.join(sets.select(F.col("id").alias(k), F.col("members").alias(f"set_{k}")), k)
+        return _linked(likely.select("a", "b", "set_a", "set_b"), *threshold)
+
+    comp: DataFrame | None = None
+
+    def add(links: DataFrame, name: str) -> None:
+        nonlocal comp
+        links = written(links, name)
+        if not links.isEmpty():
+            comp = joined(comp, links)
+        drop_table(links)
+        tidy(docs.sparkSession)
+
+    # Stars: members with the smallest ids of their buckets, that which they share most buckets with, as long as it could join components
+    stars = members.where("id != lo").groupBy(F.col("lo").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    stars = written(stars, "minhash-stars")
+    tried: list[DataFrame] = []
+    for _ in range(rounds):
+        apart = stars
+        for k in "ab" if comp is not None else "":
+            apart = apart.join(comp.select(F.col("id").alias(k), F.col("comp").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
+        if comp is not None:
+            apart = apart.where("c_a != c_b")
+        for pairs in tried:
+            apart = apart.join(pairs, ["a", "b"], "left_anti")
+        pairs = written(apart.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), "a")).alias("a")).select("a", "b"), "minhash-pairs")
+        tried.append(pairs)
+        add(verified(pairs), "minhash-links")
+    for old in (stars, *tried):
+        drop_table(old)
+
+    # Blocks: first which rows have a likely partner, by signatures alone, then links, by the full sets of those rows
+    rule = (size, per_band, threshold, bounds)
+    blocks = _blocks(members, comp, brief, block_bytes)
+    drop_table(members)
+    rows = written(_partnered(_sorted(blocks.join(brief.select("id", "sig"), "id").select(*blocks.columns, "sig")), *rule), "minhash-partnered")
+    drop_table(blocks)
+    rows_sets = rows.join(brief.select("id", "sig"), "id").join(sets, "id").select(*rows.columns, "sig", "members")
+    add(_joining(_sorted(rows_sets), *rule), "minhash-links")
+    for old in (rows, nodes, sets, brief):
+        drop_table(old)
+    return comp
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -306,15 +437,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFr
 
     Rows that repeat an id are one document: one of them stays. Rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, **options)
-    ids = written(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept")), "minhash-verdicts")
-    away = ids.where("_id is not null and (rows > 1 or not kept)").select("_id")
-    again = ids.where("_id is not null and rows > 1 and kept").select("_id")
-
-    def few(frame: DataFrame) -> DataFrame:
-        return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
-
-    rest = docs.join(few(away), docs[id_col] == F.col("_id"), "left_anti")
+    found, key = near_duplicates(docs, id_col, **options), free_name(docs.columns, "_id")
+    ids = written(found.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept")), "minhash-verdicts")
+    away = ids.where(F.col(key).isNotNull() & F.expr("rows > 1 or not kept")).select(key)
+    again = ids.where(F.col(key).isNotNull() & F.expr("rows > 1 and kept")).select(key)
+    rest = docs.join(few(away), docs[id_col] == F.col(key), "left_anti")
     if again.isEmpty():
         return rest
-    return rest.unionByName(docs.join(few(again), docs[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col]))
+    return rest.unionByName(docs.join(few(again), docs[id_col] == F.col(key), "left_semi").dropDuplicates([id_col]))

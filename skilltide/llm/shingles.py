@@ -9,15 +9,17 @@ _U64 = np.uint64
 
 
 class WordHash(dict):
-    """Word (bytes) to a signed 64-bit hash, kept for reuse; emptied when it is large, so memory is bounded."""
+    """Word (bytes) to a signed 64-bit hash, kept for reuse; emptied when it holds about ``most`` bytes, so memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 24 << 20):
         super().__init__()
-        self.most = most
+        self.most, self.held = most, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
+        self.held += len(word) + 160  # an entry with its key's and value's objects
+        if self.held > self.most:
             self.clear()
+            self.held = 0
         value = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
         return value
 

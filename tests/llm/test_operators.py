@@ -275,10 +275,11 @@ def near_rows():
     return rows + [(200, "One two", "a"), (201, "one  TWO", "a"), (202, None, "a"), (203, "", None), (204, " \t", "a"), (205, prose(3, 8000), "a"), (206, prose(3, 8000) + " end", "a"), (207, "É a", "a"), (208, "é a", "a")]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("block_bytes", [8 * 1200, 2 << 20])
+def test_near_duplicates(spark, block_bytes):
     rows = near_rows()
     sets, comp = links_by_hand(rows)
-    got = minhash.near_duplicates(docs(spark, [*rows, rows[0], (None, "x", "a")]), block=8).collect()
+    got = minhash.near_duplicates(docs(spark, [*rows, rows[0], (None, "x", "a")]), block_bytes=block_bytes).collect()
     assert len(got) == len(rows) + 2
     for r in got:
         if r.doc_id is not None:
@@ -288,6 +289,27 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rounds, block_bytes", [(0, 30_000), (2, 2 << 20)])
+def test_near_copies_around_the_threshold(spark, rounds, block_bytes):
+    """One group of hundreds of near copies whose similarities lie around the threshold, so that some members are alone."""
+    r, base, rows = random.Random(4), prose(6, 120).split(), []
+    for i in range(400):
+        words = list(base)
+        for k in r.sample(range(120), r.randint(0, 6)):
+            words[k] = f"x{r.randrange(10**6)}"
+        rows.append((i * 7 % 401, " ".join(words), "a"))
+    _, comp = links_by_hand(rows)
+    assert 3 < len(set(comp.values())) < 200
+    got = minhash.near_duplicates(docs(spark, rows), rounds=rounds, block_bytes=block_bytes).collect()
+    assert {r.doc_id: r.component_id for r in got} == comp
+
+
+def test_one_of_each_group_stays_with_all_its_columns(spark):
+    table = spark.createDataFrame([(1, "a b c", 5, True, 2), (2, "A b c", 6, False, 3), (2, "A b c", 6, False, 3), (3, None, 7, None, 4), (None, "a b c", 8, None, 5)], "doc_id long, text string, _id long, kept boolean, rows long")
+    got = minhash.without_copies(table)
+    assert got.columns == table.columns and sorted(r["_id"] for r in got.collect()) == [5, 7, 8]
+
+
 def test_sequential_bound():
     bounds = minhash.least_matches(240, 0.75, 1e-6)
     n, m = bounds[-1]
