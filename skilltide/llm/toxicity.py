@@ -4,7 +4,8 @@ Texts are restored first: tokens written with leetspeak, spacing or repeated
 letters become character lattices, which a Viterbi search decodes under a
 character trigram model counted over all documents (the lattice of any other
 token has one path: itself). A decision list, learnt from labelled rows, then
-scores the restored words.
+scores the restored words; of a token with leet signs the words of its plain
+letters count beside the restored ones.
 
 The list holds the words, prefixes and suffixes whose share of toxic rows has a
 high lower bound. Near copies of a toxic text are one family (two rows of equal
@@ -23,9 +24,11 @@ several labels of one id count once, the largest; repeated rows are scored each.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -62,15 +65,18 @@ def symbol(c: str) -> int:
     return 37 + ord(c) % 27 if c.isalpha() else 0
 
 
-_TABLE = np.array([symbol(chr(i)) for i in range(0x3000)], np.uint8)
+@functools.cache
+def symbol_table() -> np.ndarray:
+    """The symbol of every code point."""
+    return np.array([symbol(chr(i)) for i in range(0x110000)], np.uint8)
 
 
 def _count_trigrams(texts: Iterable[str]) -> np.ndarray:
     points = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    total = np.zeros(SYMBOLS**3, np.int64)
+    total, table = np.zeros(SYMBOLS**3, np.int64), symbol_table()
     for i in range(0, len(points), 1 << 20):
         p = points[max(0, i - 2) : i + (1 << 20)]
-        s = _TABLE[np.where(p < len(_TABLE), p, 32)].astype(np.int32)
+        s = table[p].astype(np.int32)
         s = s[~((s == 0) & (np.append(s[1:], 1) == 0))]  # one gap between words
         if len(s) > 2:
             total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
@@ -83,7 +89,14 @@ def character_model(docs: DataFrame, text_col: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            total += _count_trigrams(t for t in batch.column(0).to_pylist() if t)
+            held, size = [], 0
+            for text in batch.column(0):  # some texts at a time: a batch may hold tens of megabytes
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size >= 1 << 18:
+                    total += _count_trigrams(held)
+                    held, size = [], 0
+            total += _count_trigrams(held)
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], ["code", "n"])
 
@@ -139,7 +152,7 @@ class Restorer:
     """Token to its restored words; what was decoded is kept, within a bound."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.ravel().tolist()
+        self.model = array("f", model.ravel().tobytes())
 
     def token(self, token: str) -> list[str]:
         """Of one lower-case token (split at white space)."""
@@ -211,9 +224,10 @@ def families(keys: list[list[int]]) -> list[int]:
 class Scorer:
     """Noisy-or of a text's entries in the decision list."""
 
-    def __init__(self, model: np.ndarray, entries: dict[str, float], base: float, most: int = 300_000):
+    def __init__(self, model: np.ndarray, entries: dict[str, float], base: float, most: int = 24 << 20):
         self.restorer, self.entries, self.base, self.most = Restorer(model), entries, base, most
         self.known: dict[str, tuple[str, ...]] = {}
+        self.held = 0  # bytes of what is known, about
 
     def _hits(self, words: Iterable[str]) -> tuple[str, ...]:
         entries = self.entries
@@ -226,9 +240,12 @@ class Scorer:
         for token in set(text.split()):
             got = known.get(token)
             if got is None:
-                if len(known) >= self.most:
+                got = self._hits(self.restorer.token(token))
+                self.held += 160 + 4 * len(token)
+                if self.held > self.most:
                     known.clear()
-                got = known[token] = self._hits(self.restorer.token(token))
+                    self.held = 0
+                known[token] = got
             if got:
                 hits.update(got)
         for run in _SPACED.findall(text):
@@ -253,7 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str, te
         restorer, cache, hasher = Restorer(model), WordHash(), MinHasher(16)
         for batch in batches:
             names, keys = [], []
-            for text in batch.column(1).to_pylist():
+            for text in (t.as_py() for t in batch.column(1)):
                 names.append(sorted({f for w in restorer.words(text or "") for f in features(w)}))
                 sig = np.frombuffer(hasher(shingle_set(text, 3, cache)), "<u4").tolist()
                 keys.append([i << 32 | k for i, k in enumerate(sig)])
