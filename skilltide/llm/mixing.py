@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, written
+from .common import WORD_PATTERN, free_name, written
 
 #: Rows a shard holds on average, and most shards of a source (a bound on what one window over shards sorts).
 SHARD_ROWS, MOST_SHARDS = 400, 65_536
@@ -109,7 +109,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix(docs, **options)
     id_col = options.get("id_col", "doc_id")
+    key, copies, copy = (free_name(docs.columns, c) for c in ("_id", "_times", "_copy"))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    plan = plan.groupBy("doc_id").agg(F.max(times).alias("_times")).select(F.col("doc_id").alias("_id"), "_times")
-    d = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id"))).where("_times > 0")
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*(d[c] for c in docs.columns))
+    plan = plan.groupBy("doc_id").agg(F.max(times).alias(copies)).select(F.col("doc_id").alias(key), copies)
+    d = docs.join(plan, F.col(id_col).eqNullSafe(F.col(key))).where(F.col(copies) > 0)
+    return d.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

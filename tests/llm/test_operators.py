@@ -310,6 +310,12 @@ def test_one_of_each_group_stays_with_all_its_columns(spark):
     assert got.columns == table.columns and sorted(r["_id"] for r in got.collect()) == [5, 7, 8]
 
 
+def test_a_mix_keeps_columns_of_any_name(spark):
+    table = spark.createDataFrame([(1, "a b c", "s", 5, 1, 2), (2, None, "t", 6, 1, 3), (None, "d e", None, 7, 1, 4)], "doc_id long, text string, source string, _id long, _times int, _copy int")
+    got = mixing.mixed(table)
+    assert got.columns == table.columns and {r["_id"] for r in got.collect()} <= {5, 7}
+
+
 def test_sequential_bound():
     bounds = minhash.least_matches(240, 0.75, 1e-6)
     n, m = bounds[-1]
