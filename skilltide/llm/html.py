@@ -9,7 +9,13 @@ children. Branches below a threshold leave every page of that host: they say the
 same on page after page.
 
 Elements that declare themselves noise (menus, headers, footers, side bars,
-notices, adverts, forms, scripts, comments) have importance 0. If a page declares
+notices, adverts, forms, scripts, comments) have importance 0. Tags and roles say
+so by themselves; a class or id does if a whole token of it holds words for noise
+and nothing else but words of layout (``cookie-banner``, ``ad-slot``, not
+``has-sidebar``). Such a token, or a form, counts nothing on a branch that holds
+declared main text or more than half of the page's text, and ambiguous words
+(notice, related, share) count nothing inside declared main text: there the tree
+decides. Reader comments are noise wherever they are declared. If a page declares
 its main text (article, main), only that is taken, and the declaration is a prior:
 a block inside it, told by its path and text, has as importance the share of the
 host's such pages that lack it, counted as if ``PRIOR`` more lacked it, so passages
@@ -40,9 +46,12 @@ from .common import written
 # Kinds of elements in HTML, and words in class or id names that declare noise.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas form button select option textarea input nav footer aside menu dialog title".split())
+DROPPED = frozenset("head script style noscript template iframe object svg math canvas button select option textarea input nav footer aside menu dialog title".split())
 MAIN = frozenset("article main".split())
-NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus respond replies notice notices cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations pagination pager toolbar widget".split())
+READERS = frozenset("comment comments disqus respond replies".split())
+NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal sharing social recommended recommendations pagination pager".split())
+AMBIGUOUS = frozenset("notice notices related share overlay toolbar widget header".split())
+LAYOUT = frozenset("area bar block bottom box button buttons col column container footer global group inner item items left link links list main outer page panel post posts primary right secondary section site slot top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,38 +66,67 @@ PRIOR = 8
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "main", "children", "digest")
+    __slots__ = ("tag", "path", "hint", "noise", "main", "children", "digest", "size", "holds")
 
-    def __init__(self, tag: str, path: int, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
-        self.children: list[Node | str] = []
-        self.digest = 0
+    def __init__(self, tag: str, path: int, hint: int, main: bool):
+        self.tag, self.path, self.hint, self.main = tag, path, hint, main
+        self.noise, self.children, self.digest = False, [], 0
+        self.size, self.holds = 0, False  # characters of text; whether main text is declared in it
 
 
-def _declared(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, str]:
-    """(noise, main, first class) as an element declares itself."""
-    noise, main, first = tag in DROPPED or tag == "header" and not inside_main, tag in MAIN, ""
+#: What an element says of itself: nothing, an ambiguous word, a word for noise (or a form), noise for certain.
+NOTHING, MAYBE, TOKEN, CERTAIN = range(4)
+
+
+def _token_hint(token: str) -> int:
+    """Of one class or id token in lower case."""
+    words = set(_PARTS.findall(token))
+    if not words or not words <= READERS | NOISE | AMBIGUOUS | LAYOUT:
+        return NOTHING
+    return CERTAIN if words & READERS else TOKEN if words & NOISE else MAYBE if words & AMBIGUOUS else NOTHING
+
+
+def _declared(tag: str, attributes: str) -> tuple[int, bool, str]:
+    """(hint, main, first class) as an element declares itself."""
+    hint, main, first = CERTAIN if tag in DROPPED else TOKEN if tag == "form" else MAYBE if tag == "header" else NOTHING, tag in MAIN, ""
     if attributes:
         for name, a, b, c in _NAMES.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id"):
-                words = _PARTS.findall(value)
-                if not NOISE.isdisjoint(words) or not inside_main and "header" in words:
-                    noise = noise or tag not in ("html", "body")
-                if name == "class" and words:
-                    first = words[0]
+                if tag not in ("html", "body"):
+                    hint = max([hint, *map(_token_hint, value.split())])
+                if name == "class" and not first:
+                    first = next(iter(_PARTS.findall(value)), "")
             elif name == "role":
-                noise, main = noise or value in ROLES, main or value == "main"
+                hint, main = max(hint, CERTAIN if value in ROLES - {"form"} else TOKEN if value in ROLES else NOTHING), main or value == "main"
             elif name == "itemprop":
                 main = main or value == "articlebody"
             elif name == "hidden" or value == "true":
-                noise = True
-    return noise, main and not noise, first
+                hint = CERTAIN
+    return hint, main and hint != CERTAIN, first
+
+
+def _judge(root: Node) -> None:
+    """Which nodes are noise and which main text, from what they say of themselves and what they hold."""
+    order = list(_walk(root))
+    for n in reversed(order):
+        below = [c for c in n.children if isinstance(c, Node) and c.hint != CERTAIN]
+        n.size = sum(len(c.strip()) for c in n.children if isinstance(c, str)) + sum(c.size for c in below)
+        n.holds = n.main or any(c.holds for c in below)
+    for n in order:
+        inside = n.main
+        for c in n.children:
+            if isinstance(c, Node):
+                if n.noise or c.hint == CERTAIN:
+                    c.noise = True
+                elif c.hint == TOKEN or c.hint == MAYBE and not inside:
+                    c.noise = not c.holds and 2 * c.size <= root.size
+                c.main = c.main or inside
 
 
 def parse(text: str) -> Node:
     """The page's tree; a child is a node or a piece of undecoded text."""
-    root = Node("", 0, False, False)
+    root = Node("", 0, NOTHING, False)
     stack, at, opened = [root], 0, Counter()
 
     def close(i: int) -> None:
@@ -126,14 +164,15 @@ def parse(text: str) -> Node:
                 if stack[i].tag in _SCOPES:
                     break
         above = stack[-1]
-        noise, main, first = _declared(tag, m[4], above.main)
-        node = Node(tag, xxhash.xxh3_64_intdigest(f"{above.path}/{tag}.{first}") >> 1, noise or above.noise, main or above.main)
+        hint, main, first = _declared(tag, m[4])
+        node = Node(tag, xxhash.xxh3_64_intdigest(f"{above.path}/{tag}.{first}") >> 1, hint, main)
         above.children.append(node)
         if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
             opened[tag] += 1
     if at < len(text):
         stack[-1].children.append(text[at:])
+    _judge(root)
     return root
 
 

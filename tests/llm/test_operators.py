@@ -243,6 +243,29 @@ def test_html_tree_decides(spark):
     assert {got[i] for i in (*range(200, 240), 300, 301)} == {"One text."}  # pages that are copies keep their text
 
 
+def test_html_main_text_outranks_class_names():
+    for page, text in {
+        '<article class="post has-sidebar"><p>a b</p></article><p>out</p>': "a b",
+        '<div class="layout-with-sidebar"><p>a</p><div class="sidebar">no</div><p>b</p></div>': "a b",
+        '<main><div class="share-price-report">a</div><p>b</p></main>': "a b",
+        '<article><p class="notice">a</p><div class="related-work">b</div><p>c</p></article>': "a b c",
+        '<form id="aspnetForm"><div><p>one two three</p><input value="x"><button>Go</button></div><div class="nav-bar">no</div></form>': "one two three",
+        '<article><p>a</p><div class="ad-slot">no</div><section id="comments"><p>no</p></section><form>no</form><p>b more</p></article>': "a b more",
+        '<div class="cookie-banner">no</div><div class="notice">no</div><div class="page"><p>a long text of its own</p></div><ul class="menu"><li>no</ul>': "a long text of its own",
+        '<div class="sidebar"><article>a</article></div><div class="comments"><article class="comment">no no no no</article></div>': "a",
+        '<header><h1>no</h1></header><article><header><h1>a</h1></header>b</article>': "a b",
+        "<article><div>a</article>b<article>c": "a c",
+    }.items():
+        assert html.main_text(page) == text, page
+
+
+def test_html_tree_decides_on_ambiguous_names_in_main_text(spark):
+    rows = [(i, "http://a.org/x", f'<article><p class="notice">say {i % 2 and "the same" or i}</p><p>text {i}</p><div class="related-work">{i}</div></article>') for i in range(60)]
+    rows += [(100 + i, "http://b.org/x", f'<article><p class="notice">the same</p><p>text {i}</p></article>') for i in range(60)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "say the same text 3 3" and got[4] == "say 4 text 4 4" and got[103] == "text 3"
+
+
 def test_html_of_any_depth():
     for n in (250, 20_000):
         page = f"<div><article>{'<div>' * n}in<nav>menu</nav>{'</div>' * n} rest</article> out</div>"
