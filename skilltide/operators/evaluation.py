@@ -52,10 +52,14 @@ def _ratio(a, b):
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def confusion(predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """TP, FP, FN, TN and accuracy, precision, recall, F1 (0 for an empty denominator) of (label, predicted) by keys."""
-    t, p = F.col("label"), F.col("predicted")
-    m = predictions.groupBy(*keys).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
+def confusion(predictions: DataFrame, keys: list[str], count: str | None = None) -> DataFrame:
+    """TP, FP, FN, TN and accuracy, precision, recall, F1 (0 for an empty denominator) of (label, predicted) by keys.
+
+    A row counts once, or as often as its column ``count`` says.
+    """
+    t, p, n = F.col("label"), F.col("predicted"), F.col(count) if count else F.lit(1)
+    cells = {"tp": t & p, "fp": ~t & p, "fn": t & ~p, "tn": ~t & ~p}
+    m = predictions.groupBy(*keys).agg(*(F.sum(F.when(which, n).otherwise(0)).cast("long").alias(name) for name, which in cells.items()))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     m = m.withColumns({"accuracy": _ratio(tp + tn, tp + fp + fn + tn), "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn)})
     return m.withColumn("f1", _ratio(2 * tp, 2 * tp + fp + fn))
@@ -63,8 +67,15 @@ def confusion(predictions: DataFrame, keys: list[str]) -> DataFrame:
 
 def threshold_grid(pairs: DataFrame, similarity: Sequence[float], coverage: Sequence[float], value: str = "dense") -> DataFrame:
     """Confusion metrics of every (similarity, coverage) threshold; coverage is made once for a similarity threshold."""
-    c = coverages(pairs, similarity, value).withColumn("seuil_couv", F.explode(F.array(*map(F.lit, coverage))))
-    return confusion(c.withColumn("predicted", F.col("couverture") >= F.col("seuil_couv")), ["seuil_sim", "seuil_couv"])
+    return coverage_grid(coverages(pairs, similarity, value), coverage)
+
+
+def coverage_grid(covered: DataFrame, coverage: Sequence[float]) -> DataFrame:
+    """Confusion metrics of every (similarity, coverage) threshold, from coverages at each similarity threshold."""
+    # Coverages are ratios of small numbers: their few different values are counted before the grid multiplies them
+    few = covered.groupBy("seuil_sim", "label", "couverture").agg(F.count(F.lit(1)).alias("_n"))
+    c = few.withColumn("seuil_couv", F.explode(F.array(*map(F.lit, coverage))))
+    return confusion(c.withColumn("predicted", F.col("couverture") >= F.col("seuil_couv")), ["seuil_sim", "seuil_couv"], "_n")
 
 
 def best_configuration(grid: DataFrame) -> DataFrame:

@@ -7,12 +7,21 @@ columns. All rules run in one pass and their findings are one DataFrame; only
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import REQUIRED_COLUMNS, ROLES
 
 
+class Finding(NamedTuple):
+    file: str | None
+    row: int | None
+    column: str
+    rule: str
+
+
 class InvalidInput(ValueError):
     """All diagnostics of an input that was refused."""
 
@@ -49,6 +58,30 @@ def _blank(value: Column) -> Column:
     return F.trim(F.coalesce(value.cast("string"), F.lit(""))) == ""
 
 
+def column_diagnostics(headers: DataFrame) -> DataFrame:
+    """file, row, column, rule: required columns that a file's header lacks (file, columns), and files without rows (n_rows)."""
+    required = F.array(*map(F.lit, REQUIRED_COLUMNS))
+    lacking = headers.select("file", F.lit(None).cast("long").alias("row"), F.explode(F.array_except(required, "columns")).alias("column"), F.lit(MISSING_COLUMN).alias("rule"))
+    empty = headers.where("n_rows = 0").select("file", F.lit(None).cast("long").alias("row"), F.lit("competence_intitule").alias("column"), F.lit(EMPTY_SHEET).alias("rule"))
+    return lacking.unionByName(empty)
+
+
+def job_diagnostics(jobs: DataFrame, skills: DataFrame) -> DataFrame:
+    """job_id, rule of jobs that no plan may start with: another role, or no skill; and roles that nobody has (null job_id)."""
+    odd = jobs.where(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False))).select("job_id", F.lit(ROLE_RULE).alias("rule"))
+    bare = jobs.join(skills.select("job_id").distinct(), "job_id", "left_anti").select("job_id", F.lit(EMPTY_SHEET).alias("rule"))
+    seen = jobs.agg(*(F.count_if(F.col("role") == r).alias(r) for r in ROLES))
+    none = seen.select(F.explode(F.array_compact(F.array(*(F.when(F.col(r) == 0, F.lit(f"aucun emploi de type '{r}'")) for r in ROLES)))).alias("rule"))
+    return odd.unionByName(bare).unionByName(none.select(F.lit(None).cast("long").alias("job_id"), "rule"))
+
+
+def require_jobs(jobs: DataFrame, skills: DataFrame) -> None:
+    """The guard before the plan: :class:`InvalidInput` where :func:`job_diagnostics` finds anything."""
+    found = job_diagnostics(jobs, skills).take(1000)
+    if found:
+        raise InvalidInput([Finding(None if d.job_id is None else str(d.job_id), None, "emploi", d.rule) for d in found])
+
+
 def row_diagnostics(rows: DataFrame, expected_role: str | None = None) -> DataFrame:
     """file, row, column, rule for every broken rule of a single row."""
     kinds = dict(rows.dtypes)
@@ -112,20 +145,15 @@ def require_valid(rows: DataFrame, expected_role: str | None = None) -> DataFram
     """``rows`` if nothing is wrong with them; else :class:`InvalidInput` with every diagnostic (at the API's edge only)."""
     absent = missing_columns(rows)
     if absent:
-        raise InvalidInput([_Fatal(c, MISSING_COLUMN) for c in absent])
+        raise InvalidInput([Finding(None, None, c, MISSING_COLUMN) for c in absent])
     if rows.isEmpty():
-        raise InvalidInput([_Fatal("competence_intitule", EMPTY_SHEET)])
+        raise InvalidInput([Finding(None, None, "competence_intitule", EMPTY_SHEET)])
     found = diagnostics(rows, expected_role).orderBy("file", "row", "column").collect()
     if found:
         raise InvalidInput(found)
     return rows
 
 
-class _Fatal:
-    def __init__(self, column: str, rule: str):
-        self.file, self.row, self.column, self.rule = None, None, column, rule
-
-
 def supplied_matches(matches: DataFrame, target_skills: DataFrame, current_skills: DataFrame) -> DataFrame:
     """What is wrong with supplied matches (job_id_a, job_id_c, pos_a, pos_c): a target skill without a match, with several, unknown ones, and current skills of another job."""
     keys = ["job_id_c", "pos_c"]

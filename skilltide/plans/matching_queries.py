@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..model import RunParams
 from ..operators import evaluation as ev
 from ..operators import matching as mt
+from ..operators import products as pr
 from ..operators import reports as rp
 from ..operators import selection as sl
 from ..sources import driver
@@ -19,12 +20,14 @@ from .oracle import COUVERTURES, GRID, SIMILARITY, WEIGHTS, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 PARAMS = RunParams(similarity=Fraction(*SIMILARITY))
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
 
 
 def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """One persisted frame for a session and input: the pair tables serve every query."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """One persisted frame for a session and input, as its files were last written: the pair tables serve every query."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, driver.written_at(spark, sf_dir))
+    for old in [k for k in _KEPT if k[:3] == key[:3] and k != key]:
+        _KEPT.pop(old).unpersist()
     if key not in _KEPT or not _KEPT[key].is_cached:
         _KEPT[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
     return _KEPT[key]
@@ -54,16 +57,21 @@ def selected(s: SparkSession, d: str) -> DataFrame:
     return sl.selection(ranked(s, d))
 
 
-def labelled(s: SparkSession, d: str) -> DataFrame:
-    return _kept(s, d, "labelled", lambda: ev.job_skill_pairs(driver.skills(s, d), driver.labelled_pairs(s, d)))
+def labelled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Skills and the labelled job pairs they are judged by."""
+    return driver.skills(s, d).select("job_id", "pos", "dense", "sparse"), driver.labelled_pairs(s, d)
+
+
+def covered(s: SparkSession, d: str, thresholds: list[float], weights: tuple[float, float] = (1.0, 0.0)) -> DataFrame:
+    return pr.job_coverages(*labelled(s, d), thresholds, weights)
 
 
 def grid(s: SparkSession, d: str) -> DataFrame:
-    return ev.threshold_grid(labelled(s, d), GRID, COUVERTURES)
+    return ev.coverage_grid(covered(s, d, GRID), COUVERTURES)
 
 
-def sweep(s: SparkSession, d: str) -> DataFrame:
-    c = ev.continuous(labelled(s, d), WEIGHTS)
+def sweep(s: SparkSession, d: str, weights: list[float] = WEIGHTS) -> DataFrame:
+    c = pr.job_scores(*labelled(s, d), weights)
     return ev.auc(c.withColumn("score", F.round("score", 9)), ["poids_dense"])
 
 
@@ -138,15 +146,15 @@ def ag06_not_reused(s, d):
 
 
 def ag07_coverage(s, d):
-    return ev.coverages(labelled(s, d), GRID).select("code_a", "code_b", "seuil_sim", r6("a_vers_b"), r6("b_vers_a"), r6("couverture"))
+    return covered(s, d, GRID).select("code_a", "code_b", "seuil_sim", r6("a_vers_b"), r6("b_vers_a"), r6("couverture"))
 
 
 def ag08_continuous(s, d):
-    return ev.continuous(labelled(s, d), WEIGHTS).select("code_a", "code_b", "poids_dense", r6("score"))
+    return pr.job_scores(*labelled(s, d), WEIGHTS).select("code_a", "code_b", "poids_dense", r6("score"))
 
 
 def ag09_confusion(s, d):
-    c = ev.coverages(labelled(s, d), [0.2]).withColumn("predicted", F.col("couverture") >= 0.2)
+    c = covered(s, d, [0.2]).withColumn("predicted", F.col("couverture") >= 0.2)
     m = ev.confusion(c, ["seuil_sim"])
     return m.select("tp", "fp", "fn", "tn", r6("accuracy"), r6("precision"), r6("recall"), r6("f1"))
 
@@ -160,12 +168,11 @@ def gr02_weight_sweep(s, d):
 
 
 def gr03_hybrid_grid(s, d):
-    p = labelled(s, d).withColumn("hybride", 0.7 * F.col("dense") + 0.3 * F.col("sparse"))
-    return ev.threshold_grid(p, GRID, COUVERTURES, "hybride").select("seuil_sim", "seuil_couv", "tp", "fp", "fn", "tn", r6("f1"))
+    return ev.coverage_grid(covered(s, d, GRID, (0.7, 0.3)), COUVERTURES).select("seuil_sim", "seuil_couv", "tp", "fp", "fn", "tn", r6("f1"))
 
 
 def ag10_auc(s, d):
-    return sweep(s, d).where("poids_dense = 1.0").select("positives", "negatives", r6("auc"))
+    return sweep(s, d, [1.0]).select("positives", "negatives", r6("auc"))
 
 
 def rk05_best_config(s, d):
@@ -177,7 +184,7 @@ def rk06_best_weights(s, d):
 
 
 def rk07_top_errors(s, d):
-    c = ev.coverages(labelled(s, d), [0.2]).withColumn("predicted", F.col("couverture") >= 0.2)
+    c = covered(s, d, [0.2]).withColumn("predicted", F.col("couverture") >= 0.2)
     return ev.top_errors(c).select("erreur", "rang", "code_a", "code_b", r6("couverture"))
 
 

@@ -34,4 +34,18 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every unordered job pair; it is positive if the first skills of both share their label."""
     first = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).cast("long").alias("job_id")).agg(F.min_by("label", "vec_id").alias("l"))
     a, b = first.select(F.col("job_id").alias("code_a"), F.col("l").alias("la")), first.select(F.col("job_id").alias("code_b"), F.col("l").alias("lb"))
-    return a.join(b, F.col("code_a") < F.col("code_b")).select("code_a", "code_b", (F.col("la") == F.col("lb")).alias("label"))
+    # Blocks meet blocks by an equi-join, so the range condition is no nested loop over whole tables
+    blocks = max(4, first.count() // 2048)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = a.withColumn("_i", F.pmod(F.xxhash64("code_a"), F.lit(blocks))).withColumn("_j", every)
+    b = b.withColumn("_j", F.pmod(F.xxhash64("code_b"), F.lit(blocks))).withColumn("_i", every)
+    return a.join(b, ["_i", "_j"]).where("code_a < code_b").select("code_a", "code_b", (F.col("la") == F.col("lb")).alias("label"))
+
+
+def written_at(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When the tables of the skill model were last written."""
+    jvm, times = spark.sparkContext._jvm, []
+    for name in ("embeddings", "documents"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        times.append(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    return tuple(times)

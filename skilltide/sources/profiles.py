@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.validation import Finding, InvalidInput
 from ..functions.text import clean, clean_skill, join_fragments, level_of_label, normalize_title, profession_code, token_key
 
 # Headings, bullets and header aliases of the document kinds.
@@ -26,6 +27,8 @@ TABLE_ALIASES = {
     "niveau": ("Niveau", "Niveau de la compétence", "Niveau compétence"),
 }
 LEAST_CHARACTERS = 20
+#: An exception names so many findings at most; the table of diagnostics holds them all.
+MOST_FINDINGS = 1000
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -92,32 +95,71 @@ def profile_title(profile_lines: DataFrame, filenames: DataFrame) -> DataFrame:
     return filenames.join(t, "doc", "left").select("doc", F.coalesce("title", F.nullif(stem, F.lit(""))).alias("title"))
 
 
+def _table(table_rows: DataFrame) -> DataFrame:
+    """Rows below their header with the cells by role: doc, row_no, n_cells, placed, mapped, intitule, description, label, niveau.
+
+    ``mapped``: a header above tells the roles; ``placed``: they are told by position.
+    """
+    roles = [(name, role) for role, names in TABLE_ALIASES.items() for name in names]
+    names = F.array(*(F.struct(token_key(F.lit(name), True).alias("k"), F.lit(role).alias("v")) for name, role in roles))
+    cells = F.transform("cells", lambda c: F.coalesce(clean(c), F.lit("")))
+    # Headers are few and short: only rows of three short cells are looked up
+    t = table_rows.withColumn("cells", cells).withColumn("n_cells", F.size("cells"))
+    keys = [token_key(F.get("cells", F.lit(i)), True) for i in range(3)]
+    t = t.withColumn("keys", F.array(*keys)).withColumn("known", names)
+    t = t.withColumn("roles", F.transform("keys", lambda k: F.get(F.filter("known", lambda e: e["k"] == k), F.lit(0))["v"])).drop("keys", "known")
+    whole = (F.col("n_cells") == 3) & F.forall("roles", lambda r: r.isNotNull()) & (F.size(F.array_distinct("roles")) == 3)
+    w = Window.partitionBy("doc").orderBy("row_no")
+    t = t.withColumn("header", F.coalesce(whole, F.lit(False)))
+    t = t.withColumn("map", F.last(F.when(F.col("header"), F.col("roles")), ignorenulls=True).over(w)).withColumn("first", F.row_number().over(w) == 1)
+    blank = F.forall("cells", lambda c: c == "")
+    t = t.where(~F.col("header") & ~blank)
+
+    def cell(role: str, place: int):
+        by_role = F.get("cells", F.array_position("map", F.lit(role)).cast("int") - 1)
+        return F.coalesce(F.when(F.col("map").isNotNull(), by_role).otherwise(F.get("cells", F.lit(place))), F.lit(""))
+
+    t = t.withColumns({"intitule": cell("intitule", 0), "description": cell("description", 1), "label": cell("niveau", 2)})
+    t = t.withColumn("niveau", level_of_label(F.col("label"))).withColumn("mapped", F.col("map").isNotNull())
+    # By position only where no header comes first, the first row names three columns and every row below has a title and a level
+    plain = t.where("not mapped").groupBy("doc").agg(
+        F.min((F.col("n_cells") == 3) & (F.col("first") | (F.col("intitule") != "") & F.col("niveau").isNotNull())).alias("fits"),
+        F.max(F.col("first") & F.forall("cells", lambda c: c != "") & F.col("niveau").isNull()).alias("named"), F.count(F.lit(1)).alias("n"),
+    )
+    t = t.join(plain.select("doc", (F.col("fits") & F.col("named") & (F.col("n") > 1)).alias("by_place")), "doc", "left")
+    t = t.withColumn("placed", ~F.col("mapped") & F.coalesce("by_place", F.lit(False)))
+    return t.where("mapped or (placed and not first)").drop("cells", "roles", "map", "header", "first", "by_place")
+
+
+def table_diagnostics(table_rows: DataFrame) -> DataFrame:
+    """doc, row_no, code, message of table rows that are refused, and of tables taken by position (severity ``avertissement``)."""
+    t = _table(table_rows)
+    shown = F.when(F.col("label") != "", F.col("label")).otherwise("valeur vide")
+    code = F.when(F.col("n_cells") != 3, "structure_inexploitable").when(F.col("intitule") == "", "association_ambigue").when(F.col("niveau").isNull(), "niveau_inconnu")
+    message = F.when(F.col("n_cells") != 3, F.format_string("trois cellules sont attendues, %d trouvées", "n_cells")).when(F.col("intitule") == "", F.lit("détails ou niveau sans intitulé de compétence")).otherwise(F.format_string("compétence « %s »: niveau non reconnu « %s »", "intitule", shown))
+    found = t.withColumn("code", code).where("code is not null").select("doc", "row_no", F.lit("erreur").alias("severity"), "code", message.alias("message"))
+    placed = t.where("placed").groupBy("doc").agg(F.min("row_no").alias("row_no"))
+    return found.unionByName(placed.select("doc", "row_no", F.lit("avertissement").alias("severity"), F.lit("colonnes_interpretees_par_position").alias("code"), F.lit("colonne 1=nom de compétence, colonne 2=détail, colonne 3=niveau").alias("message")))
+
+
 def table_profiles(table_rows: DataFrame) -> DataFrame:
     """doc, row_no, intitule, description, niveau of table rows (doc, row_no, cells).
 
-    A row whose cells are header aliases (after normalisation) maps the columns for
-    the rows below it, over pages too; rows above any header are taken by position
-    (title, description, level) only if the table has three cells and ends in a level.
+    A row whose three cells are header aliases (after normalisation) maps the columns
+    for the rows below it, over pages too; a table without header is taken by position
+    if every row reads so. These are the readable rows: :func:`table_diagnostics` has a
+    finding for every other one, and :func:`require_tables` refuses tables that have any.
     """
-    roles = [(token, role) for role, names in TABLE_ALIASES.items() for token in names]
-    alias = F.create_map(*(F.lit(x) for token, role in roles for x in (token, role)))
-    known = F.map_from_entries(F.transform(F.map_entries(alias), lambda e: F.struct(F.upper(F.translate(e["key"], "éÉèêôâ", "eEeeoa")).alias("k"), e["value"].alias("v"))))
-    cells = F.transform("cells", lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")))
-    t = table_rows.withColumn("cells", cells)
-    t = t.withColumn("roles", F.transform("cells", lambda c: F.try_element_at(known, F.upper(F.translate(c, "éÉèêôâ", "eEeeoa")))))
-    header = F.coalesce(F.array_contains("roles", "intitule") & F.array_contains("roles", "niveau"), F.lit(False))
-    w = Window.partitionBy("doc").orderBy("row_no")
-    t = t.withColumn("header", header).withColumn("map", F.last(F.when(F.col("header"), F.col("roles")), ignorenulls=True).over(w))
-    t = t.where(~F.col("header"))
+    t = _table(table_rows).where("n_cells = 3 and intitule != '' and niveau is not null")
+    return t.select("doc", "row_no", "intitule", F.nullif("description", F.lit("")).alias("description"), "niveau")
 
-    def cell(role: str):
-        at = F.array_position("map", F.lit(role))
-        return F.when(at > 0, F.try_element_at("cells", at.cast("int")))
 
-    by_place = F.col("map").isNull() & (F.size("cells") == 3)
-    t = t.withColumns({"intitule": F.when(by_place, F.col("cells")[0]).otherwise(cell("intitule")), "description": F.when(by_place, F.col("cells")[1]).otherwise(cell("description")), "label": F.when(by_place, F.col("cells")[2]).otherwise(cell("niveau"))})
-    t = t.withColumn("niveau", level_of_label(F.col("label")))
-    return t.where("intitule != '' and niveau is not null").select("doc", "row_no", "intitule", F.nullif("description", F.lit("")).alias("description"), "niveau")
+def require_tables(table_rows: DataFrame) -> DataFrame:
+    """:func:`table_profiles`, or InvalidInput with every finding."""
+    found = table_diagnostics(table_rows).where("severity = 'erreur'").orderBy("doc", "row_no").take(MOST_FINDINGS)
+    if found:
+        raise InvalidInput([Finding(r.doc, r.row_no, r.code, r.message) for r in found])
+    return table_profiles(table_rows)
 
 
 def chained_profiles(tables: DataFrame, sections: DataFrame) -> DataFrame:

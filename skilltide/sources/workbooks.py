@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,29 +11,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import SHEET
-from ..operators.validation import InvalidInput, require_valid
+from ..operators.validation import MISSING_COLUMN, Finding, InvalidInput, require_valid
 
 COLUMNS = "emploi_id string, emploi_intitule string, emploi_type string, emploi_effectif double, competence_id string, competence_intitule string, competence_description string, competence_niveau double"
+CORPUS = "code_rome string, intitule string, competences string, nombre_competences int, statut_validation_pdf string, fichier_pdf string"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with an explicit schema (levels are never inferred), the file's name and the sheet's row number."""
-    rows = spark.read.schema(COLUMNS).csv(path, header=True, multiLine=True, escape='"').withColumn("file", F.input_file_name())
-    return rows.withColumn("row", F.monotonically_increasing_id() % (1 << 33) + 2)
+def _csv_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return files.select(F.col("path").alias("file"), "content")
+
+
+def read_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """Rows of every CSV file under ``path``, with the file's name and the sheet's row number (2 is the first).
+
+    Columns are found by their names in each file's own header; one that a file lacks is null
+    there and named by :func:`csv_headers`. Levels and headcounts that are no numbers are null.
+    """
+    kinds = dict(c.split() for c in COLUMNS.split(", "))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["file"], frame["content"], strict=True):
+                rows = list(csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig"), newline="")))
+                out = {c: [r.get(c) or None for r in rows] for c in kinds}
+                for c in (c for c, kind in kinds.items() if kind == "double"):
+                    out[c] = pd.to_numeric(pd.Series(out[c], dtype=object), errors="coerce").astype(float)
+                yield pd.DataFrame(out | {"file": name, "row": range(2, len(rows) + 2)})
+
+    return _csv_files(spark, path, glob).mapInPandas(run, f"{COLUMNS}, file string, row long")
+
+
+def csv_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """file, columns, n_rows of every CSV file: what :func:`column_diagnostics` judges."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["file"], frame["content"], strict=True):
+                rows = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"), newline=""))
+                header = next(rows, [])
+                yield pd.DataFrame({"file": [name], "columns": [header], "n_rows": [sum(1 for r in rows if r)]})
+
+    return _csv_files(spark, path, glob).mapInPandas(run, "file string, columns array<string>, n_rows long")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus CSV: skills are parted by line breaks inside a cell."""
-    schema = "code_rome string, intitule string, competences string, nombre_competences int, statut_validation_pdf string, fichier_pdf string"
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    """A corpus CSV, its columns found by name: skills are parted by line breaks inside a cell."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+    kinds = dict(c.split() for c in CORPUS.split(", "))
+    absent = [c for c in kinds if c not in rows.columns]
+    if absent:
+        raise InvalidInput([Finding(path, None, c, MISSING_COLUMN) for c in absent])
+    return rows.select(*(F.expr(f"try_cast({c} as {kind})").alias(c) for c, kind in kinds.items()))
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the sheet of every .xlsx file under ``path``; needs a workbook reader on the workers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
@@ -61,4 +98,4 @@ def read_pair(current: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFra
     return a[0].unionByName(c[0]), a[1].unionByName(c[1])
 
 
-__all__ = ["InvalidInput", "read_corpus", "read_csv", "read_jobs", "read_pair", "read_workbooks"]
+__all__ = ["InvalidInput", "csv_headers", "read_corpus", "read_csv", "read_jobs", "read_pair", "read_workbooks"]
