@@ -39,7 +39,9 @@ def pair_inputs(skills: DataFrame) -> tuple[DataFrame, DataFrame]:
 def blocks_crossed(left: DataFrame, right: DataFrame, right_bytes: int, blocks: int = 16) -> DataFrame:
     """All pairs, which is what the similarity join asks for: a checked small side is broadcast, else blocks meet blocks by an equi-join."""
     if right_bytes <= BROADCAST_BYTES:
-        return left.crossJoin(F.broadcast(right))
+        # A small left side comes in one partition or two: its pairs are work for all cores
+        return left.repartition(2 * left.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(right))
+    blocks = max(blocks, -(-right_bytes // BROADCAST_BYTES))
     i = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     l = left.withColumn("_i", F.pmod(F.xxhash64("job_id_a", "pos_a"), F.lit(blocks))).withColumn("_j", i)
     r = right.withColumn("_j", F.pmod(F.xxhash64("job_id_c", "pos_c"), F.lit(blocks))).withColumn("_i", i)

@@ -103,8 +103,8 @@ def sparse_rows(rows: DataFrame) -> DataFrame:
     """id, token, weight: sparse rows (id, sparse map) in long form, of length 1; zeros go, a row without weight is an error."""
     kept = F.map_filter("sparse", lambda _, w: w != 0)
     norm = F.sqrt(F.aggregate(F.map_values(kept), F.lit(0.0), lambda s, w: s + w * w))
-    checked = F.when(norm > 0, norm).otherwise(F.raise_error(F.lit("a sparse row has no weight")).cast("double"))
-    long = rows.select("id", kept.alias("kept"), checked.alias("norm")).select("id", "norm", F.explode("kept").alias("token", "w"))
+    checked = F.when(norm > 0, kept).otherwise(F.raise_error(F.lit("a sparse row has no weight")).cast(dict(rows.dtypes)["sparse"]))
+    long = rows.select("id", checked.alias("kept"), norm.alias("norm")).select("id", "norm", F.explode("kept").alias("token", "w"))
     return long.select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
@@ -150,7 +150,7 @@ def _scored(dealt: DataFrame, sparse: bool, out: Callable, schema: str) -> DataF
             y = x if i == j else _Jobs(table.filter(pa.array(own == j)))
             if not len(x.codes) or not len(y.codes):
                 continue
-            score = out(_dense(x.rows["dense"]) @ _dense(y.rows["dense"]).T, _sparse_cosine(x.rows, y.rows) if sparse else None, x, y)
+            score = list(out(_dense(x.rows["dense"]) @ _dense(y.rows["dense"]).T, _sparse_cosine(x.rows, y.rows) if sparse else None, x, y))
             a, b, label = asked["code"].to_numpy(), asked["other"].to_numpy(), asked["label"].to_numpy(zero_copy_only=False).astype(bool)
             for turned in (False, True):
                 p, q = (b, a) if turned else (a, b)

@@ -34,10 +34,10 @@ def read_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
         for frame in frames:
             for name, content in zip(frame["file"], frame["content"], strict=True):
                 rows = list(csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig"), newline="")))
-                out = {c: [r.get(c) or None for r in rows] for c in kinds}
+                out = {c: pd.Series([r.get(c) or None for r in rows], dtype=object) for c in kinds}
                 for c in (c for c, kind in kinds.items() if kind == "double"):
-                    out[c] = pd.to_numeric(pd.Series(out[c], dtype=object), errors="coerce").astype(float)
-                yield pd.DataFrame(out | {"file": name, "row": range(2, len(rows) + 2)})
+                    out[c] = pd.to_numeric(out[c], errors="coerce").astype(float)
+                yield pd.DataFrame(out | {"file": pd.Series([name] * len(rows), dtype=object), "row": range(2, len(rows) + 2)})
 
     return _csv_files(spark, path, glob).mapInPandas(run, f"{COLUMNS}, file string, row long")
 
@@ -50,7 +50,7 @@ def csv_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFram
             for name, content in zip(frame["file"], frame["content"], strict=True):
                 rows = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"), newline=""))
                 header = next(rows, [])
-                yield pd.DataFrame({"file": [name], "columns": [header], "n_rows": [sum(1 for r in rows if r)]})
+                yield pd.DataFrame({"file": pd.Series([name], dtype=object), "columns": [header], "n_rows": [sum(1 for r in rows if r)]})
 
     return _csv_files(spark, path, glob).mapInPandas(run, "file string, columns array<string>, n_rows long")
 
