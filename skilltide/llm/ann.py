@@ -9,7 +9,9 @@ in the order of estimated success (the sum of squared distances to the crossed c
 borders), ``probes`` in each table and range; the candidates of all tables are
 merged and scored on the original vectors in double precision. Queries that find
 fewer than ``k`` go on with ten times the probes and steps of two cells, and those
-still short are held against every vector.
+still short are held against every vector. Recall is measured on a bounded sample of
+queries: a plan of probes that misses too many true neighbours gives way to the next
+for all queries.
 
 Equal vectors are one class with its ``k`` + 1 smallest ids (more can never be
 among the k nearest), so copies cost nothing. Cells are dealt by hash over parts,
@@ -210,8 +212,12 @@ def _short(queries: DataFrame, got: DataFrame, want: int) -> DataFrame:
     return queries.join(full, "id", "left_anti")
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 8, hashes: int = 6, width: float = 1.5, probes: int = 100, part_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 8, hashes: int = 6, width: float = 1.5, probes: int = 100, part_rows: int = 16_384, sample: int = 128, recall: float = 0.925, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``.
+
+    A plan of probes is kept only if it finds the share ``recall`` of the true neighbours of ``sample`` queries;
+    else the next one looks at more cells, and at last every query is held against every vector.
+    """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
@@ -274,26 +280,35 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 8, h
         found = cells.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda a, b: _score(a, b, dim, k + 1), "query_id long, found binary")
         return written(found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(k), OUT), "ann-found")
 
-    queries = v.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    done, want = [], None
+    def exact(asked: DataFrame) -> DataFrame:
+        """Held against every vector: blocks of queries meet parts of the vectors, all in one cell."""
+        blocks, shares = max(1, -(-asked.count() // 4096)), -(-rows // part_rows)
+        cells = classes.mapInArrow(_plain, "name long, ids binary, vector binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        cells = cells.withColumn("part", F.col("block") * shares + F.pmod(F.xxhash64("vector"), F.lit(shares)))
+        visits = asked.mapInArrow(_plain_query, "query_id long, names binary, vector binary")
+        visits = visits.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        visits = visits.withColumn("part", F.col("share") + F.pmod(F.xxhash64("query_id"), F.lit(blocks)) * shares)
+        number = F.col("part").cast("long").alias("part")
+        return ranked(cells.select(number, "name", "ids", "vector"), visits.select(number, "query_id", "names", "vector"))
+
+    queries = written(v.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
+    # What the index finds is measured on a bounded sample of queries, which are held against every vector
+    truth = exact(queries.orderBy(F.xxhash64("id"), "id").limit(sample)).select("query_id", "vec_id")
+    asked = truth.count()
+    want = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    done, measured = [], False
     for step, n in ((1, probes), (2, 10 * probes)):
         cells = classes.mapInArrow(index, "part long, name long, ids binary, vector binary")
         got = ranked(cells, queries.mapInArrow(ask(step, n), "part long, query_id long, names binary, vector binary"))
-        short = _short(queries, got, k)
-        if want is None and not short.isEmpty():
-            want = min(k, v.select("id").distinct().limit(k + 1).count() - 1)
-            short = _short(queries, got, want)
-        short = written(short, "ann-short")
+        if not measured:
+            if truth.join(got, ["query_id", "vec_id"], "left_semi").count() < recall * asked:
+                continue  # the next plan looks at more cells
+            measured = True
+        short = written(_short(queries, got, want), "ann-short")
         done.append(got.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*got.columns))
         queries = short
         if short.isEmpty():
             break
     else:
-        # Held against every vector: blocks of queries meet parts of the vectors, all in one cell
-        blocks, shares = -(-queries.count() // 4096), -(-rows // part_rows)
-        cells = classes.mapInArrow(_plain, "name long, ids binary, vector binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) * shares + F.pmod(F.xxhash64("vector"), F.lit(shares)))
-        asked = queries.mapInArrow(_plain_query, "query_id long, names binary, vector binary")
-        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))) + F.pmod(F.xxhash64("query_id"), F.lit(blocks)) * shares)
-        kinds = F.col("part").cast("long").alias("part")
-        done.append(ranked(cells.select(kinds, "name", "ids", "vector"), asked.select(kinds, "query_id", "names", "vector")))
+        done.append(exact(queries))
     return reduce(DataFrame.unionByName, done)
