@@ -197,7 +197,10 @@ def document_frequency(files: DataFrame, text_col: str) -> tuple[dict[str, int],
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = 0.7) -> DataFrame:
-    """All of ``files`` but its text, with license, score, basis (header, file, inherited or null) and license_path."""
+    """All of ``files`` but its text, with license, score, basis (header, file, inherited or null) and license_path.
+
+    Columns of the input that have one of these four names are replaced.
+    """
     counts, n = document_frequency(files, text_col)
     idf = {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 1 for w in VOCABULARY}
     rare = math.log(1 + n) + 1

@@ -339,6 +339,21 @@ def test_a_mix_keeps_columns_of_any_name(spark):
     assert got.columns == table.columns and {r["_id"] for r in got.collect()} <= {5, 7}
 
 
+def test_repeated_rows_and_empty_tables(spark):
+    public = pytest.importorskip("public_tokenizers")
+    model = public.path("piece_bpe_32k.model")
+    got = tokens.token_counts(docs(spark, [(1, "a b", "s"), (1, "a b", "s"), (2, " ", "s")]), model).collect()
+    assert len(got) == 3 and len({r.n_tokens for r in got if r.doc_id == 1}) == 1 and tokens.token_counts(docs(spark, []), model).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    scored = toxicity.toxicity(docs(spark, [(1, "a b", "s"), (1, "a b", "s"), (2, None, "s")]), labels).collect()
+    assert [r.score for r in scored] == [0.0] * 3 and toxicity.without_toxic(docs(spark, []), labels).count() == 0
+
+
+def test_license_columns_are_replaced(spark):
+    files = spark.createDataFrame([("a/LICENSE", "Released under the MIT License.", 1.5, "x")], "path string, text string, score double, basis string")
+    assert [r.asDict() for r in licenses.scan(files).select("path", "license", "basis").collect()] == [{"path": "a/LICENSE", "license": "MIT", "basis": "file"}]
+
+
 def test_sequential_bound():
     bounds = minhash.least_matches(240, 0.75, 1e-6)
     n, m = bounds[-1]
@@ -407,6 +422,38 @@ def test_nearest_beside_a_long_vector(spark, norm):
     assert hits / (20 * 50) >= 0.9
 
 
+def recall_of(spark, vectors):
+    """Rows of each query, and recall against brute force in double precision."""
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in ann.nearest(table).collect():
+        got[x.query_id].append(x.vec_id)
+    n, hits = len(vectors), 0
+    want = min(20, n - 1)
+    for q in range(0, n, 20):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len(set(got[q]) & set(np.argsort(-scores, kind="stable")[:want].tolist()))
+        assert len(got[q]) == len(set(got[q])) == want
+    return hits / (want * len(range(0, n, 20)))
+
+
+@pytest.mark.parametrize("n", [2, 21, 50])
+def test_nearest_gives_all_rows_of_few_vectors(spark, n):
+    assert recall_of(spark, np.random.default_rng(n).normal(size=(n, 64))) >= 0.9
+
+
+@pytest.mark.parametrize("n, dim, spread", [(10_000, 64, 0.0), (2_000, 384, 0.0), (2_000, 64, 1.0)])
+def test_recall_at_real_sizes(spark, n, dim, spread):
+    """Unit vectors without structure, the hardest case, and norms that are log-normal."""
+    r = np.random.default_rng(11)
+    vectors = r.normal(size=(n, dim))
+    vectors *= (np.exp(spread * r.normal(size=n)) / np.linalg.norm(vectors, axis=1))[:, None]
+    recall = recall_of(spark, vectors)
+    print(f"recall {recall:.3f} of {n} vectors of {dim} components, norms spread {spread}")
+    assert recall >= 0.9
+
+
 def test_nearest_holds_short_queries_against_all(spark):
     r = np.random.default_rng(3)
     axis = np.r_[1.0, np.zeros(7)]
