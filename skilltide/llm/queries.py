@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, html, licenses, media, minhash, mixing, packing, tokens, toxicity, warc
 from .common import table
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,5 +67,3 @@ QUERIES: dict[str, Query] = {
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
 }
-
-ORACLE_SQL: dict[str, str] = {}
