@@ -32,7 +32,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(op3_tokens(spark, sf_dir), length_col="n_tokens")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
