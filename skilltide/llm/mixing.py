@@ -6,7 +6,7 @@ the excess goes to the others by weight until none is above its cap.
 
 Targets become whole blocks of equal numbers of words: source quotas by highest
 quotients (Sainte-Lague), then shard quotas inside each source in the same way.
-A shard lays its documents in an order seeded by hash and cuts them into blocks;
+A shard lays its documents in an order seeded by hash of id and text and cuts them into blocks;
 a quota takes whole passes over the shard and, for the rest, its first blocks.
 A document is cut only where the last block of a shard ends.
 
@@ -71,7 +71,8 @@ def targets(sources: DataFrame, cap: int) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, block: int = 16, seed: int = 20) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of ``docs``."""
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("_order"))
     sizes = written(sizes, "mixing-sizes")
 
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
@@ -84,8 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shards = F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("_rows") / SHARD_ROWS))).cast("long")
     sources = sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target", "_quota", shards.alias("_shards")).checkpoint()
 
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    d = sizes.join(sources, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_order", order)
+    d = sizes.join(sources, F.col("source").eqNullSafe(F.col("_source")))
     d = d.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), "_shards"))
 
     held = d.groupBy("source_no", "_shard").agg(F.sum("size").alias("_held"), F.first("_quota").alias("_quota"))
