@@ -20,8 +20,8 @@ BROADCAST_ROWS = 1_000_000
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is made and set as the checkpoint folder.
+    Only where a session on one machine names none, as in tests, a temporary
+    folder is made and set as the checkpoint folder; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -29,6 +29,8 @@ def shared_root(spark: SparkSession) -> str:
         if root:
             root = root.rsplit("/", 1)[0]
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="skilltide-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = f"file://{local}"
@@ -70,6 +72,24 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str, salt: list[str], hot: int = 10_000) -> DataFrame:
+    """``rows`` left-joined to ``found``: one row a key, its column ``n`` counts the rows that have the key.
+
+    Keys of more than ``hot`` rows are broadcast, at most one for every ``hot`` rows of the table. Rows that found theirs
+    there, and rows with a null key, are dealt by a hash of ``salt``: no task gets all rows of a hot key.
+    """
+    fields = [c for c in found.columns if c not in (key, "n")]
+    packed = found.select(F.col(key).alias("_key"), "n", F.struct(*fields).alias("_found"))
+    many = packed.where(F.col("n") > hot).select("_key", F.col("_found").alias("_many"))
+    rest = packed.where(F.col("n") <= hot).select("_key", F.col("_found").alias("_few"))
+    kind = rows.schema[key].dataType
+    out = rows.join(F.broadcast(many), F.col(key) == F.col("_key"), "left").drop("_key")
+    out = out.withColumn("_done", F.col("_many").isNotNull() | F.col(key).isNull())
+    out = out.withColumn("_look", F.when(F.col("_done"), F.xxhash64(*salt).cast("string").cast(kind)).otherwise(F.col(key)))
+    out = out.join(rest, (F.col("_look") == F.col("_key")) & ~F.col("_done"), "left")
+    return out.select(*rows.columns, *(F.coalesce(f"_many.{c}", f"_few.{c}").alias(c) for c in fields))
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """``wanted``, or the same with underscores before it if the input already has such a column."""
     taken = {c.lower() for c in columns}

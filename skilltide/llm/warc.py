@@ -13,7 +13,7 @@ but its digest and the response's identifier, URL and page id. Reading a revisit
 looks the response up in the index.
 
 Edge cases: a null html is an empty payload; a null url has the key of an empty
-host; a null page id sorts below all others, and only if no other row shares the
+host; control characters of a url stand JSON-escaped in the record's headers; a null page id sorts below all others, and only if no other row shares the
 payload is it the response; rows that repeat the largest page id of a payload are
 all responses; an empty table gives no archives and no rows; other columns are
 not read.
@@ -37,7 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import looked_up, scratch, written
 from .media import filesystem
 
 NO_ID = -(1 << 63)
@@ -282,8 +282,8 @@ def warc(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_co
     p = p.withColumn("surt", surt(F.col("url"))).withColumn("sha", F.when(F.octet_length("html") >= least_bytes, F.unhex(F.sha1(F.col("html").cast("binary")))))
     same = p.where("sha is not null").groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count(F.lit(1)).alias("n"))
     # Written first: the planner then knows its size and need not shuffle the pages where it is small
-    same = written(same.where("n > 1").select("sha", F.col("kept.page_id").alias("refers_to"), F.col("kept.url").alias("refers_url")), "warc-equal")
-    p = p.join(same, "sha", "left")
+    same = written(same.where("n > 1").select("sha", "n", F.col("kept.page_id").alias("refers_to"), F.col("kept.url").alias("refers_url")), "warc-equal")
+    p = looked_up(p, same, "sha", ["page_id", "url"])
     other = F.coalesce(F.col("refers_to") != F.col("page_id"), F.col("refers_to").isNotNull())
     p = p.select("page_id", "url", "html", "surt", F.when(other, F.col("refers_to")).alias("refers_to"), "refers_url")
     captures = write_archives(p, uri)
