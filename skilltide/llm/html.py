@@ -33,15 +33,18 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+import uuid
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import looked_up, scratch, written
+from .media import filesystem
 
 # Kinds of elements in HTML, and words in class or id names that declare noise.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -261,7 +264,7 @@ def host_of(url: Column) -> Column:
 
 
 def importance(pages: DataFrame, least_pages: int) -> DataFrame:
-    """(host, low: path or digest -> importance) from pages (host, html): nodes whose own importance is below 1, and shared blocks of main text."""
+    """(host, n pages, paths, owns) from pages (host, html): paths or digests and importances of nodes whose own is below 1, and of shared blocks of main text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,27 +289,78 @@ def importance(pages: DataFrame, least_pages: int) -> DataFrame:
     node = node.where("m > 1").withColumn("value", 1 - mean)
     node = node.groupBy("host", "path").agg(F.max("m").alias("m"), F.max(F.when(F.col("kind") == 1, F.col("value"))).alias("content"), F.max(F.when(F.col("kind") == 0, F.col("value"))).alias("style"))
     own = F.greatest("content", "style")
-    both = node.select("host", "path", own.alias("own"), "m").where("own < 0.99 or path = 0")
+    both = node.select("host", "path", own.alias("own"), "m").where("own < 0.99")
+    # The root, path 0, is on all pages of its host
+    roots = written(node.where("path = 0").select("host", F.col("m").alias("n"), F.col("m").alias("pages")), "html-hosts")
     # kind 2: blocks of main text; a low one is on more than (1 - LOW) * (m + PRIOR) of the host's m pages, so few rows meet
     least = (1 - LOW) * PRIOR / LOW
     blocks = seen.where((F.col("kind") == 2) & (F.col("path") < 0) & (F.col("n") > least)).select("host", "path", "n")
     pages_of = seen.where((F.col("kind") == 2) & (F.col("path") == 0) & (F.col("n") > least)).select("host", F.col("n").alias("m"))
     shared = blocks.join(pages_of, "host").select("host", "path", (1 - F.col("n") / (F.col("m") + PRIOR)).alias("own"), F.lit(least_pages).cast("long").alias("m")).where(F.col("own") < LOW)
-    # The root, path 0, is on all pages of its host
-    of = both.union(shared).groupBy("host").agg(F.max(F.when(F.col("path") == 0, F.col("m"))).alias("pages"), F.collect_list(F.struct("path", "own", "m")).alias("all"))
-    judged = F.filter("all", lambda x: (x["own"] < 0.99) & (x["m"] >= F.least(F.lit(least_pages), F.col("pages"))))
-    return of.select("host", F.map_from_entries(F.transform(judged, lambda x: F.struct(x["path"], x["own"]))).alias("low")).where(F.size("low") > 0)
+    judged = looked_up(both.union(shared), roots, "host", ["path"]).where(F.col("m") >= F.least(F.lit(least_pages), "pages"))
+    of = judged.groupBy("host").agg(F.max("pages").alias("n"), F.collect_list(F.struct("path", "own")).alias("all"))
+    return of.select("host", "n", F.col("all.path").alias("paths"), F.col("all.own").alias("owns"))
+
+
+def store(low: DataFrame, uri: str) -> DataFrame:
+    """Lay the hosts' paths and importances out in files at ``uri``; (host, n, file, start, size) of each host, size in paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(uri)
+        out, at, name = None, 0, uuid.uuid4().hex
+        for batch in batches:
+            rows = []
+            for host, n, paths, owns in zip(*batch.columns, strict=True):
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                out.write(paths.values.to_numpy().astype("<i8").tobytes() + owns.values.to_numpy().astype("<f8").tobytes())
+                rows.append((host.as_py(), n.as_py(), name, at, len(paths)))
+                at += 16 * len(paths)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["host", "n", "file", "start", "size"])
+        if out is not None:
+            out.close()
+
+    return written(low.mapInArrow(run, "host string, n long, file string, start long, size long"), "html-importance")
+
+
+class Hosts:
+    """Importances by host, read by byte range; the hosts used last are kept, up to ``most`` paths together or one host."""
+
+    def __init__(self, uri: str, most: int = 300_000):
+        self.fs, self.root = filesystem(uri)
+        self.most, self.held = most, 0
+        self.kept: OrderedDict[tuple[str, int], dict[int, float]] = OrderedDict()
+
+    def of(self, file: str | None, start: int | None, size: int | None) -> dict[int, float]:
+        if file is None:
+            return {}
+        low = self.kept.pop((file, start), None)
+        if low is None:
+            self.held += size
+            while self.kept and self.held > self.most:
+                self.held -= len(self.kept.popitem(last=False)[1])
+            with self.fs.open_input_file(f"{self.root}/{file}") as source:
+                data = source.read_at(16 * size, start)
+            low = dict(zip(np.frombuffer(data, "<i8", size).tolist(), np.frombuffer(data, "<f8", size, 8 * size).tolist(), strict=True))
+            self.held += len(low) - size
+        self.kept[file, start] = low
+        return low
 
 
 def extract(pages: DataFrame, least_pages: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    low = written(importance(p.select("host", "html"), least_pages), "html-importance")
-    p = p.join(low, "host", "left").select("page_id", "url", "html", "low")
+    uri = scratch(pages.sparkSession, "html-hosts")
+    low = store(importance(p.select("host", "html"), least_pages), uri)
+    p = looked_up(p, low, "host", ["page_id", "url"]).select("page_id", "url", "html", "file", "start", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts = Hosts(uri)
         for batch in batches:
-            texts = [main_text(h.as_py(), dict(m.as_py() or ())) for h, m in zip(batch.column(2), batch.column(3), strict=True)]
+            where = zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True)
+            texts = [main_text(h.as_py(), hosts.of(*w)) for h, w in zip(batch.column(2), where, strict=True)]
             arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
