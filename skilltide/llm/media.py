@@ -216,12 +216,12 @@ class ArchiveWriter(DataSourceArrowWriter):
     """One archive a task, under a name that no other attempt has; commit lists what counts."""
 
     def __init__(self, uri: str):
-        self.uri = uri
+        self.uri, self.job = uri, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = filesystem(self.uri)
         fs.create_dir(root, recursive=True)
-        name = f"_open-{uuid.uuid4().hex}.zip"
+        name = f"_open-{self.job}-{uuid.uuid4().hex}.zip"
         out, n = None, 0
         for batch in iterator:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -240,11 +240,17 @@ class ArchiveWriter(DataSourceArrowWriter):
         fs.create_dir(root, recursive=True)
         for name in (n for m in messages if m for n in m.names):
             fs.move(f"{root}/{name}", f"{root}/{name.removeprefix('_open-')}")
+        self._clear(fs, root)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = filesystem(self.uri)
-        for name in (n for m in messages if m for n in m.names):
-            fs.delete_file(f"{root}/{name}")
+        self._clear(fs, root)
+
+    def _clear(self, fs: pafs.FileSystem, root: str) -> None:
+        """Remove what this job's attempts left open, lost executors' files too."""
+        for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if os.path.basename(info.path).startswith(f"_open-{self.job}-"):
+                fs.delete_file(info.path)
 
 
 class ArchiveReader(DataSourceReader):

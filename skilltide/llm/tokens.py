@@ -8,8 +8,10 @@ bytes (byte fallback).
 
 The vocabulary file (a SentencePiece BPE model) is read with a small protobuf
 reader. Pieces begin at a word's start at the earliest, so words are counted by
-themselves and a count is reused where the word comes again; the text is first
-normalised as the model's rules say.
+themselves and a count is reused where the word comes again. White space is
+squeezed and a space put before the text as the model's flags say; a model with a
+normalisation table, user-defined or unused pieces, or pieces that cross words is
+refused.
 
 Edge cases: null and empty texts have no tokens; texts of any length are counted
 whole; special strings in a text are ordinary text; repeated rows are counted
