@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skilltide.llm import ann, html, licenses, media, minhash, mixing, packing, tokens, toxicity, warc
+from skilltide.llm import ann, common, html, licenses, media, minhash, mixing, oracle, packing, tokens, toxicity, warc
 
 DOCS = "doc_id long, text string, source string, id string, sig string, bucket string, digest string, size long"
 
@@ -205,14 +205,19 @@ def test_boundaries_against_all_choices():
 def test_packing(spark):
     rows = [(i, prose(i, i % 37), "a") for i in range(300)] + [(None, "x y", "a"), (7, None, None), (7, None, None), (900, prose(1, 5000), "a")]
     got = packing.pack(docs(spark, rows), buckets=4, budget=100).collect()
-    assert Counter(r.n_tokens for r in got) == Counter(len((t or "").split()) for _, t, _ in rows)
+    assert Counter(r.n_words for r in got) == Counter(len((t or "").split()) for _, t, _ in rows)
     batches = defaultdict(list)
     for r in got:
         batches[r.batch].append(r)
-        assert r.padding == r.bucket_len - r.n_tokens >= 0
+        assert r.padding == r.bucket_len - r.n_words >= 0 and r.over_budget == (r.n_words > 100) and not (r.over_budget and r.padding)
     for b in batches.values():
         assert len(b) == b[0].batch_rows and len({r.bucket for r in b}) == 1 and (len(b) == 1 or len(b) * b[0].bucket_len <= 100)
     assert packing.pack(docs(spark, [])).count() == 0
+    nulls = packing.pack(docs(spark, [(None, prose(i, 9), "a") for i in range(40)]).drop("doc_id").withColumn("doc_id", F.lit(None).cast("long")), budget=30)
+    assert Counter(r.batch_rows for r in nulls.dropDuplicates(["batch"]).collect()) == {3: 13, 1: 1}
+    own = packing.pack(docs(spark, [(1, None, "a"), (2, None, "a")]).select("doc_id", F.lit(5).alias("n_tokens")), length_col="n_tokens")
+    assert [(r.n_tokens, r.padding, r.batch_rows) for r in own.collect()] == [(5, 0, 2)] * 2
+    assert packing.pack(docs(spark, [(1, "a b c", "a")]), budget=2).first().over_budget
 
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a href='/'>menu</a></nav><div class=\"ad\">buy</div><article><h1>Head {0}</h1><p><b>Bold &amp; text {0}<br><p>Para</p></article><div id='comments'><article>me too</article></div><footer>&copy; x</footer></body></html>"
@@ -505,3 +510,40 @@ def test_mixing(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     copies = Counter(x.doc_id for x in mixing.mixed(docs(spark, rows)).collect())
     assert set(copies) <= {i for i, _, _ in rows} and mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_sql_twins(spark):
+    """The SQL forms and the queries give the same rows, copies, short, empty and null texts included."""
+    import duckdb
+    import pyarrow as pa
+
+    documents = [(i, t, s) for i, t, s in near_rows() if i < 400]
+    pages = [(1, "http://a.b/1", None), (2, None, ""), (3, "http://a.b/2", "x"), (4, "http://a.b/2", "x"), (5, "http://c.d/", "é"), (6, "http://c.d/", "x")]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in documents], "text": [r[1] for r in documents]}))
+    con.register("pages", pa.table({"page_id": [r[0] for r in pages], "url": [r[1] for r in pages], "html": [r[2] for r in pages]}))
+    got = {"op7_minhash": minhash.near_duplicates(docs(spark, documents)), "op8_warc": warc.warc(spark.createDataFrame(pages, "page_id long, url string, html string"))}
+    assert set(got) == set(oracle.ORACLE_SQL)
+    for name, df in got.items():
+        found = con.execute(oracle.ORACLE_SQL[name])
+        columns = [c[0] for c in found.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert Counter(found.fetchall()) == Counter(tuple(r[c] for c in columns) for r in df.collect()), name
+
+
+def test_hot_keys_are_looked_up_apart(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 20}") for i in range(300)], "id long, key string")
+    found = spark.createDataFrame([("hot", 100, 1, None), ("k1", 5, 2, "b"), ("k2", 11, 3, "c"), ("none", 99, 4, "d")], "key string, n long, v int, w string")
+    want = Counter((r.id, r.key, r.v, r.w) for r in rows.join(found, "key", "left").collect())
+    for hot in (0, 10, 1000):
+        got = common.looked_up(rows, found, "key", ["id"], hot)
+        assert got.columns == ["id", "key", "v", "w"] and Counter(map(tuple, got.collect())) == want
+
+
+def test_kept_hosts_are_bounded(spark, tmp_path):
+    low = spark.createDataFrame([(f"h{i}", 9, list(range(i)), [j / 10 for j in range(i)]) for i in range(1, 9)], "host string, n long, paths array<long>, owns array<double>")
+    hosts, where = html.Hosts(f"file://{tmp_path}/x", most=10), html.store(low, f"file://{tmp_path}/x").collect()
+    for r in [*where, *where[::-1], *where]:
+        assert hosts.of(r.file, r.start, r.size) == {j: j / 10 for j in range(int(r.host[1:]))}
+        assert hosts.held == sum(map(len, hosts.kept.values())) and (hosts.held <= 10 or len(hosts.kept) == 1)
+    assert hosts.of(None, None, None) == {}
