@@ -108,6 +108,46 @@ def test_document_frequency_counts_by_one_rule(spark):
     assert (counts["software"], counts["terms"], n) == (3, 3, 4)
 
 
+def best_by_hand(text, idf, rare, least):
+    """Every run of words near every cue against every template, each cosine from two whole sparse vectors."""
+    weigh = lambda counts: {w: n * idf.get(w, rare) for w, n in counts.items()}
+    best = (False, 0.0, 0.0), None
+    low = text.lower()
+    for cue in re.finditer("licen|copyright|spdx|public domain|all rights reserved|permission is hereby|permission to use|creative commons|redistribution and use|free software", low):
+        before = re.findall(r"[^\W_]+(?:\.\d+)*", low[: cue.start()])
+        words = before + re.findall(r"[^\W_]+(?:\.\d+)*", low[cue.start() :])
+        for name, template, needed in licenses.TEMPLATES:
+            want = Counter(re.findall(r"[^\W_]+(?:\.\d+)*", template.lower()))
+            size, t = sum(want.values()) + 8, weigh(want)
+            first, last = max(0, len(before) - size + 1), min(len(words), len(before) + size)
+            for end in range(first + 1, last + 1):
+                held = Counter(words[max(first, end - size) : end]) & want
+                if all(held[w] for w in needed.split()):
+                    dot = sum(x * t[w] for w, x in weigh(held).items())
+                    score = round(math.sqrt(dot / sum(x * x for x in t.values())), 9)
+                    one = (score >= least and name != "Proprietary", score, round(dot, 6))
+                    best = max(best, (one, name), key=lambda b: b[0])
+    return best[0][1], best[1]
+
+
+def test_licenses_against_all_windows():
+    r = random.Random(12)
+    files = [" ".join(r.choices(licenses.VOCABULARY, k=40)) for _ in range(30)]
+    for _, template, _ in licenses.TEMPLATES:
+        for _ in range(3):  # a template with words lost, changed and among others
+            words = [w if r.random() < 0.9 else r.choice(licenses.VOCABULARY) for w in template.split() if r.random() < 0.95]
+            files.append(" ".join([prose(r.random(), 12), *words, prose(r.random(), 12), *r.sample(["Copyright", "license", "all rights reserved."], 2)]))
+    seen = Counter(w for f in files for w in set(re.findall(r"[^\W_]+(?:\.\d+)*", f.lower())))
+    idf = {w: math.log((1 + len(files)) / (1 + seen[w])) + 1 for w in licenses.VOCABULARY}
+    rare = math.log(1 + len(files)) + 1
+    matcher = licenses.Matcher(idf, rare)
+    found = [matcher.scan(f) for f in files]
+    for f, got in zip(files, found, strict=True):
+        want = best_by_hand(f, idf, rare, 0.7)
+        assert got[0] == pytest.approx(want[0], abs=1e-8) and got[1] == want[1], f
+    assert len({name for score, name in found if score >= 0.7}) > 10
+
+
 def test_token_counts(spark):
     sp, public = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
     model = public.path("piece_bpe_32k.model")
