@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,12 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Up to so many rows of one or two longs are broadcast (8 or 16 MB).
 BROADCAST_ROWS = 1_000_000
+#: Most bytes of a batch for a Python worker (a single longer row is a batch), unless the session names a bound:
+#: Spark's own lets ten thousand whole texts make one of 64 MB, which JVM and worker hold several times.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,6 +63,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bounded(frame: DataFrame) -> DataFrame:
+    """``frame``, whose session sends batches of at most ``BATCH_BYTES`` to Python workers from now on."""
+    conf = frame.sparkSession.conf
+    if conf.get(_BATCH_KEY, None) is None:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    return frame
+
+
+def released(run: Run) -> Run:
+    """``run``, after which the worker gives freed memory back: workers serve many tasks and would keep the most they held."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle and checkpoint files of steps that nothing refers to any more."""
     gc.collect()

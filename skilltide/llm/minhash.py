@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import drop_table, few, free_name, tidy, written
+from .common import bounded, drop_table, few, free_name, released, tidy, written
 from .shingles import MinHasher, WordHash, shingle_set
 
 BATCH = 16
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, size: in
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n_shingles long, digest binary, sig binary"
+        released(run), "id long, n_shingles long, digest binary, sig binary"
     )
 
 
@@ -87,7 +87,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             made = [shingle_set(t.as_py(), width, cache).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "members"])
 
-    return docs.mapInArrow(run, "id long, members binary")
+    return docs.mapInArrow(released(run), "id long, members binary")
 
 
 def _likely(pairs: DataFrame, size: int, bounds: list[tuple[int, int]]) -> DataFrame:
@@ -106,7 +106,7 @@ def _likely(pairs: DataFrame, size: int, bounds: list[tuple[int, int]]) -> DataF
             keep = pa.array(alive)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(released(run), "a long, b long")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -204,7 +204,7 @@ def _partnered(blocks: DataFrame, *rule) -> DataFrame:
             if len(found):
                 yield from rows.select(["g0", "g1", "g2", "band", "role", "id", "comp", "n"]).take(pa.array(found)).combine_chunks().to_batches()
 
-    return blocks.mapInArrow(run, "g0 long, g1 long, g2 long, band int, role int, id long, comp long, n long")
+    return blocks.mapInArrow(released(run), "g0 long, g1 long, g2 long, band int, role int, id long, comp long, n long")
 
 
 def _joining(blocks: DataFrame, *rule) -> DataFrame:
@@ -217,7 +217,7 @@ def _joining(blocks: DataFrame, *rule) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(released(run), "a long, b long")
 
 
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -230,7 +230,7 @@ def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
             keep = pa.array(np.flatnonzero(verdict), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(released(run), "a long, b long")
 
 
 def _relabelled(frame: DataFrame, key: str, new: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def near_duplicates(
     once; ``rounds`` of stars come before the blocks, which alone would find all
     as well.
     """
-    signed = written(signatures(docs, id_col, text_col, width, bands * rows), "minhash-signatures")
+    signed = written(signatures(bounded(docs), id_col, text_col, width, bands * rows), "minhash-signatures")
     reps = signed.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", F.col("n_shingles").alias("n"), "sig")).alias("m"))
     reps = written(reps.select("digest", "m.*"), "minhash-classes")
     every = written(signed.select("id", "n_shingles", "digest"), "minhash-rows")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, released, written
 from .shingles import MinHasher, WordHash, shingle_set
 
 #: What a leet sign may stand for (fixed values of the channel model).
@@ -100,7 +100,7 @@ def character_model(docs: DataFrame, text_col: str) -> np.ndarray:
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], ["code", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     got = rows.toArrow()
     counts = np.zeros(SYMBOLS**3)
     counts[got.column("code").to_numpy()] = got.column("n").to_numpy()
@@ -279,7 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str, te
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # The sample's size is bounded by a parameter: its ids can be broadcast, and its toxic rows collected
-    rows = texts.join(F.broadcast(known), "id").select("id", "text", "toxic").mapInArrow(run, "id long, toxic int, names array<string>, keys array<long>")
+    rows = texts.join(F.broadcast(known), "id").select("id", "text", "toxic").mapInArrow(released(run), "id long, toxic int, names array<string>, keys array<long>")
     rows = written(rows.dropDuplicates(["id"]), "toxicity-sample")
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(1):
@@ -306,7 +306,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str, te
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
-    model = character_model(docs, text_col)
+    model = character_model(bounded(docs), text_col)
     entries, base = learn(docs, labels, model, id_col, text_col, label_col, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,14 +316,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = texts.mapInArrow(run, "doc_id long, score double")
+    scored = texts.mapInArrow(released(run), "doc_id long, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000) -> DataFrame:
     """The rows of ``docs`` whose score is below a half, with all their columns and without a join."""
-    model = character_model(docs, text_col)
+    model = character_model(bounded(docs), text_col)
     entries, base = learn(docs, labels, model, id_col, text_col, label_col, sample)
     at = docs.columns.index(text_col)
 
@@ -332,4 +332,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             yield batch.filter(pa.array([scorer(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
