@@ -71,9 +71,10 @@ def threshold_grid(pairs: DataFrame, similarity: Sequence[float], coverage: Sequ
 
 
 def coverage_grid(covered: DataFrame, coverage: Sequence[float]) -> DataFrame:
-    """Confusion metrics of every (similarity, coverage) threshold, from coverages at each similarity threshold."""
+    """Confusion metrics of every (similarity, coverage) threshold, from coverages at each similarity threshold, or their counts ``n``."""
     # Coverages are ratios of small numbers: their few different values are counted before the grid multiplies them
-    few = covered.groupBy("seuil_sim", "label", "couverture").agg(F.count(F.lit(1)).alias("_n"))
+    many = F.sum("n") if "n" in covered.columns else F.count(F.lit(1))
+    few = covered.groupBy("seuil_sim", "label", "couverture").agg(many.alias("_n"))
     c = few.withColumn("seuil_couv", F.explode(F.array(*map(F.lit, coverage))))
     return confusion(c.withColumn("predicted", F.col("couverture") >= F.col("seuil_couv")), ["seuil_sim", "seuil_couv"], "_n")
 
@@ -85,12 +86,23 @@ def best_configuration(grid: DataFrame) -> DataFrame:
 
 
 def auc(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Area under the ROC curve from mid-ranks of ``score``; null where only one class is there."""
-    w = Window.partitionBy(*keys)
-    mid = F.rank().over(w.orderBy("score")) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "score")) - 1) / 2.0
-    r = scores.withColumn("_r", mid).groupBy(*keys).agg(F.sum(F.when(F.col("label"), F.col("_r"))).alias("_s"), F.count_if("label").alias("positives"), F.count_if(~F.col("label")).alias("negatives"))
+    """Area under the ROC curve: the share of (positive, negative) pairs in order, equal scores half; null where only one class is there.
+
+    Scores are counted, then compared inside buckets of neighbouring scores; only the buckets' totals meet in one task.
+    """
+    up, down = F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n")
+    few = scores.groupBy(*keys, "score").agg(up, down)
+    # The whole part and 16 bits behind it keep the order; null comes first
+    few = few.withColumn("_b", F.when(F.col("score").isNotNull(), F.floor(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), F.col("score"))) * 65536)))
+
+    def below(by: list[str], order: str):
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    inside = F.sum(F.col("p") * (F.col("_below") + F.col("n") / 2.0))
+    buckets = few.withColumn("_below", below([*keys, "_b"], "score")).groupBy(*keys, "_b").agg(inside.alias("_u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    total = buckets.withColumn("_below", below(keys, "_b")).groupBy(*keys).agg(F.sum(F.col("_u") + F.col("p") * F.col("_below")).alias("_u"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     p, n = F.col("positives"), F.col("negatives")
-    return r.withColumn("auc", F.when((p > 0) & (n > 0), (F.col("_s") - p * (p + 1) / 2.0) / (p * n))).drop("_s")
+    return total.withColumn("auc", F.when((p > 0) & (n > 0), F.col("_u") / (p * n))).drop("_u")
 
 
 def best_weights(sweep: DataFrame, tolerance: float = 1e-12) -> DataFrame:
