@@ -59,21 +59,59 @@ def chars_text(chars: Column) -> Column:
     return clean(F.aggregate(chars, start, add)["t"])
 
 
-def visual_lines(lines: DataFrame) -> DataFrame:
-    """Lines with their text, its key and what their characters tell; lines without text go."""
+def _texts(lines: DataFrame) -> DataFrame:
+    """Lines with their text and what their characters tell, without the characters."""
     bold = picked(F.col("chars"), True, True)
     right = F.filter("chars", lambda c: ~is_bold(c) & (c["x0"] >= F.col("width") * RIGHT))
-    v = lines.withColumns({
+    return lines.withColumns({
         "text": chars_text(F.col("chars")), "bold_text": chars_text(bold), "bold_size": F.array_max(F.transform(bold, lambda c: c["size"])),
         "plain_text": chars_text(picked(F.col("chars"), True, False)), "right_text": chars_text(right), "coloured": is_coloured(F.col("chars")),
-    }).where("text != ''")
-    return v.withColumn("key", decompose("text")).drop("chars")
+    }).drop("chars")
+
+
+def visual_lines(lines: DataFrame) -> DataFrame:
+    """Lines with their text, its key and what their characters tell; lines without text go."""
+    return _texts(lines).where("text != ''").withColumn("key", decompose("text"))
 
 
 def _finding(frame: DataFrame, code: str, message: Column) -> DataFrame:
     return frame.select("doc", F.lit(code).alias("code"), message.alias("message"), F.col("page").cast("int").alias("page"))
 
 
+def _section(lines: DataFrame) -> DataFrame:
+    """Every line with its kind (null outside the section), the skill it belongs to and its finding; documents meet once, by windows."""
+    doc = Window.partitionBy("doc")
+    by = doc.orderBy("page", "line_no")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("page", "line_no")
+    v = _texts(lines).withColumns({"key": decompose("text"), "niveau": level_of_label(F.col("right_text"))})
+    v = v.withColumn("heading", (F.col("text") != "") & (F.col("x0") <= F.col("width") * LEFT) & (F.col("bold_text") != ""))
+    v = v.withColumn("opens", F.col("heading") & (F.regexp_replace("key", " X$", "") == SECTION)).withColumn("ends", F.col("heading") & (F.col("key") != SECTION) & F.col("key").rlike(TOP_LEVEL))
+    v = v.withColumn("inside", (F.col("text") != "") & ~F.col("key").rlike(CHROME)).drop("text", "key", "heading", "x0", "width")
+
+    s = v.withColumn("line", F.row_number().over(by)).withColumns({"start": F.max(F.when(F.col("opens"), place)).over(doc), "first_page": F.min("page").over(doc)})
+    s = s.withColumn("inside", F.col("inside") & F.coalesce(place > F.col("start"), F.lit(False)))
+    s = s.withColumn("stop", F.min(F.when(F.col("inside") & F.col("ends"), place)).over(doc))
+    kind = F.when(F.col("niveau").isNotNull(), "level").when(F.col("bold_text") != "", "title").when(F.col("plain_text") != "", "text")
+    s = s.withColumn("kind", F.when(F.col("inside") & ~F.col("coloured") & F.coalesce(place < F.col("stop"), F.lit(True)), kind))
+    level = F.coalesce(F.col("kind") == "level", F.lit(False))
+    s = s.withColumns({"island": F.sum(F.when(level, 1).otherwise(0)).over(by), "levels": F.count_if(level).over(doc), "texts": F.count_if(F.col("kind") == "text").over(before)})
+    described = F.col("texts") > F.coalesce(F.max(F.when(level, F.col("texts"))).over(by), F.lit(0))
+    s = s.withColumn("described", described)
+
+    def found(code: str, message: Column, page: str = "page") -> Column:
+        return F.struct(F.lit(code).alias("code"), message.alias("message"), F.col(page).cast("int").alias("page"))
+
+    of_line = F.when(level & (F.col("bold_text") == ""), found(AMBIGUOUS, F.lit("un niveau reconnu n'est associé à aucun intitulé noir en gras")))
+    of_line = of_line.when(F.expr("kind = 'title' and right_text != ''"), found(UNKNOWN_LEVEL, F.format_string("niveau non reconnu « %s » pour la compétence « %s »", "right_text", "bold_text")))
+    of_line = of_line.when(F.expr("kind = 'title' and right_text = '' and (island = 0 or described)"), found(AMBIGUOUS, F.format_string("intitulé en gras sans niveau reconnu ni association certaine: « %s »", "bold_text")))
+    of_line = of_line.when(F.expr("kind = 'text' and island = 0"), found(AMBIGUOUS, F.format_string("description sans compétence associée: « %s »", "plain_text")))
+    of_doc = F.when(F.col("start").isNull(), found(ABSENT, F.lit("la section attendue « COMPÉTENCES DIGITALES » est absente"), "first_page"))
+    of_doc = of_doc.when(F.col("levels") == 0, found(UNUSABLE, F.lit("la rubrique « COMPÉTENCES DIGITALES » ne contient aucune compétence exploitable"), "start.page"))
+    s = s.withColumns({"of_line": of_line, "of_doc": F.when(F.col("line") == 1, of_doc)})
+    return s.withColumn("good", ~F.max(F.col("of_line").isNotNull() | F.col("of_doc").isNotNull()).over(doc))
+
+
 def section_skills(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(skills, diagnostics): doc, pos, intitule, description, niveau of the section's skills.
 
@@ -81,42 +119,17 @@ def section_skills(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines go on with the title, plain ones with the description, over pages; the
     next heading of the top level ends the section.
     """
-    v = visual_lines(lines)
-    heading = (F.col("x0") <= F.col("width") * LEFT) & (F.col("bold_text") != "")
-    place = F.struct("page", "line_no")
-    starts = v.where(heading & (F.regexp_replace("key", " X$", "") == SECTION)).groupBy("doc").agg(F.max(place).alias("start"))
-    s = v.join(starts, "doc").where(place > F.col("start")).where(~F.col("key").rlike(CHROME))
-    stops = s.where(heading & (F.col("key") != SECTION) & F.col("key").rlike(TOP_LEVEL)).groupBy("doc").agg(F.min(place).alias("stop"))
-    s = s.join(stops, "doc", "left").where(F.col("stop").isNull() | (place < F.col("stop"))).where(~F.col("coloured"))
-
-    s = s.withColumn("niveau", level_of_label(F.col("right_text")))
-    kind = F.when(F.col("niveau").isNotNull(), "level").when(F.col("bold_text") != "", "title").when(F.col("plain_text") != "", "text")
-    by = Window.partitionBy("doc").orderBy("page", "line_no")
-    s = s.withColumn("kind", kind).where("kind is not null").withColumn("island", F.sum(F.when(F.col("kind") == "level", 1).otherwise(0)).over(by))
-    described = F.max(F.when(F.col("kind") == "text", 1).otherwise(0)).over(Window.partitionBy("doc", "island").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("described", F.coalesce(described, F.lit(0)))
-
-    found = [
-        _finding(s.where("kind = 'level' and bold_text = ''"), AMBIGUOUS, F.lit("un niveau reconnu n'est associé à aucun intitulé noir en gras")),
-        _finding(s.where("kind = 'title' and right_text != ''"), UNKNOWN_LEVEL, F.format_string("niveau non reconnu « %s » pour la compétence « %s »", "right_text", "bold_text")),
-        _finding(s.where("kind = 'title' and right_text = '' and (island = 0 or described = 1)"), AMBIGUOUS, F.format_string("intitulé en gras sans niveau reconnu ni association certaine: « %s »", "bold_text")),
-        _finding(s.where("kind = 'text' and island = 0"), AMBIGUOUS, F.format_string("description sans compétence associée: « %s »", "plain_text")),
-    ]
-    docs = lines.groupBy("doc").agg(F.min("page").alias("page"))
-    found.append(_finding(docs.join(starts, "doc", "left_anti"), ABSENT, F.lit("la section attendue « COMPÉTENCES DIGITALES » est absente")))
-    empty = starts.join(s.where("kind = 'level'").select("doc").distinct(), "doc", "left_anti").select("doc", F.col("start.page").alias("page"))
-    found.append(_finding(empty, UNUSABLE, F.lit("la rubrique « COMPÉTENCES DIGITALES » ne contient aucune compétence exploitable")))
-    diagnostics = reduce(DataFrame.unionByName, found)
+    s = _section(lines)
+    diagnostics = s.select("doc", F.explode(F.array_compact(F.array("of_line", "of_doc"))).alias("f")).select("doc", "f.*")
 
     def parts(which: Column, text: str) -> Column:
         ordered = F.array_sort(F.collect_list(F.when(which, F.struct("page", "line_no", F.col(text).alias("t")))))
         return join_fragments(F.transform(ordered, lambda x: x["t"]))
 
-    built = s.where("island > 0").groupBy("doc", "island").agg(
+    built = s.where("good and kind is not null and island > 0").groupBy("doc", "island").agg(
         parts(F.col("kind") != "text", "bold_text").alias("intitule"), parts(F.col("kind") == "text", "plain_text").alias("description"), F.max("niveau").alias("niveau")
     )
-    good = built.join(diagnostics.select("doc").distinct(), "doc", "left_anti")
-    return good.select("doc", F.col("island").alias("pos"), "intitule", F.nullif("description", F.lit("")).alias("description"), "niveau"), diagnostics
+    return built.select("doc", F.col("island").alias("pos"), "intitule", F.nullif("description", F.lit("")).alias("description"), "niveau"), diagnostics
 
 
 def _header_title(text: Column) -> Column:

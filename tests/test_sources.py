@@ -82,6 +82,13 @@ def test_visual_sections(spark):
     assert {(r.doc, r.code) for r in found.collect()} == {("none", "section_absente"), ("empty", "structure_inexploitable"), ("unknown", "niveau_inconnu"), ("loose", "association_ambigue"), ("loose", "structure_inexploitable"), ("unknown", "structure_inexploitable")}
 
 
+@pytest.mark.parametrize("which", [0, 1])
+def test_visual_sections_read_lines_once(spark, which):
+    lines = sheet(spark, {"a": [[chars("Compétences digitales x", bold=True), skill("A", "Expertise")]]})
+    plan = visual.section_skills(lines)[which]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan") == 1 and "Join" not in plan and "Union" not in plan
+
+
 def test_visual_titles(spark):
     def big(text, size=14.0):
         return chars(text, bold=True, size=size)
