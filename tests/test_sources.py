@@ -89,6 +89,12 @@ def test_visual_sections_read_lines_once(spark, which):
     assert plan.count("Scan") == 1 and "Join" not in plan and "Union" not in plan
 
 
+def test_visual_sections_exchange_once(spark):
+    lines = sheet(spark, {"a": [[chars("Compétences digitales x", bold=True), skill("A", "Expertise")]]})
+    plan = visual.section_skills(lines)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_visual_titles(spark):
     def big(text, size=14.0):
         return chars(text, bold=True, size=size)
