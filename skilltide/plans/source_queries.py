@@ -129,18 +129,24 @@ def _chars(text, bold: bool, color, x0: float):
     return F.filter(chars, lambda c: c["text"] != " ")
 
 
+#: Visual sheets that one task builds and reads.
+SHEETS = 8192
+
+
 def sheet_lines(s: SparkSession, d: str) -> DataFrame:
     """Lines of a visual sheet for each customer: chrome, section, skills of two title lines and a description over two pages, next section."""
     k = F.col("c_custkey")
     black, blue = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.2), F.lit(0.8))
     none = F.array().cast(visual.CHARS)
-    c = table(s, d, "customer").withColumn("n", k.cast("string"))
+    c = table(s, d, "customer").withColumn("doc", k.cast("string"))
+    # A few bytes of a customer become many lines, so customers are dealt out before: one task read a whole small file
+    c = c.repartition(max(2 * s.sparkContext.defaultParallelism, c.count() // SHEETS), "doc")
     level = F.when(k % 7 == 0, F.lit("inconnu")).when(k % 2 == 0, F.lit("Maîtrise")).otherwise(F.lit("Expertise"))
 
     def line(page: int, no: int, chars):
         return F.struct(F.lit(page).alias("page"), F.lit(no).cast("long").alias("line_no"), chars.cast(visual.CHARS).alias("chars"))
 
-    title = F.concat(F.lit("Skill "), "n", F.lit(" semi-"))
+    title = F.concat(F.lit("Skill "), "doc", F.lit(" semi-"))
     lines = [
         line(1, 0, _chars(F.lit("Talentsoft x"), False, black, 50.0)),
         line(1, 1, F.when(k % 11 == 0, none).otherwise(_chars(F.lit("COMPÉTENCES DIGITALES"), True, black, 50.0))),
@@ -154,7 +160,7 @@ def sheet_lines(s: SparkSession, d: str) -> DataFrame:
         line(2, 3, _chars(F.lit("Compétences métier"), True, black, 50.0)),
         line(2, 4, F.concat(_chars(F.lit("Not this"), True, black, 50.0), _chars(F.lit("Expertise"), False, black, 450.0))),
     ]
-    rows = c.select(F.col("n").alias("doc"), F.explode(F.array(*lines)).alias("l")).select("doc", "l.*")
+    rows = c.select("doc", F.explode(F.array(*lines)).alias("l")).select("doc", "l.*")
     return rows.select("doc", "page", "line_no", (F.col("line_no") * 20.0).alias("top"), F.lit(50.0).alias("x0"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), "chars")
 
 

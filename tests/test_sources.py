@@ -15,10 +15,19 @@ from skilltide.operators import evaluation as ev
 from skilltide.operators import products as pr
 from skilltide.operators import relations as rl
 from skilltide.operators import validation as vl
+from skilltide.plans import source_queries as sq
 from skilltide.sources import encoders, profiles, visual, workbooks
 from skilltide.streaming import new_jobs
 
 
+def test_sheets_are_built_in_many_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, "X") for k in range(1, 200)], "c_custkey long, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    lines = sq.sheet_lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and lines.count() == 11 * 199
+    monkeypatch.setattr(sq, "SHEETS", 10)
+    assert sq.sheet_lines(spark, str(tmp_path)).rdd.getNumPartitions() == 19
+
+
 def test_csv_files_by_header_and_row(spark, tmp_path):
     head = "emploi_intitule,emploi_type,emploi_effectif,competence_intitule,competence_niveau"
     for i in range(4):
